@@ -44,42 +44,45 @@ def idle_or_explore(tick: str = "tick") -> str:
     return f"(case when pmod({tick}, 2) = 0 then 'IDLE' else 'EXPLORE' end)"
 
 
-def _allowed(objects: str, actions: list[str], always: list[str], requires: dict[str, list[str]]) -> dict[str, str]:
+def _allowed(types: str, actions: list[str], always: list[str], requires: dict[str, list[str]]) -> dict[str, str]:
     """Condition per action, in declared order."""
     out = {}
     for action in actions:
         if action in always:
             out[action] = "true"
         elif action in requires:
-            out[action] = " or ".join(f"array_contains({objects}.type, '{t}')" for t in requires[action])
+            out[action] = " or ".join(f"array_contains({types}, '{t}')" for t in requires[action])
     return out
 
 
 def available_actions(
-    objects: str = "objects",
+    types: str = "objects.type",
     actions: list[str] = C.ACTIONS,
     always: list[str] = C.ALWAYS_AVAILABLE,
     requires: dict[str, list[str]] = C.ACTION_TYPES,
 ) -> str:
-    """Actions that the scene allows, in declared order."""
-    slots = [f"if({fits}, '{a}', null)" for a, fits in _allowed(objects, actions, always, requires).items()]
+    """Actions that the types present in the scene allow, in declared order."""
+    slots = [f"if({fits}, '{a}', null)" for a, fits in _allowed(types, actions, always, requires).items()]
     return f"array_compact(array({', '.join(slots)}))"
 
 
 def shuffled_actions(
     row: str,
     seed: int | str = C.DATA_SEED,
-    objects: str = "objects",
+    types: str = "objects.type",
     actions: list[str] = C.ACTIONS,
     always: list[str] = C.ALWAYS_AVAILABLE,
     requires: dict[str, list[str]] = C.ACTION_TYPES,
 ) -> str:
-    """The same actions in an order fixed by the digest of (seed, row, action)."""
+    """The same actions in an order fixed by the digest of (seed, row, action).
+
+    Nulls stand for actions that do not fit; joining the array to text leaves them out.
+    """
     slots = []
-    for action, fits in _allowed(objects, actions, always, requires).items():
+    for action, fits in _allowed(types, actions, always, requires).items():
         digest = f"md5({rand.key_text(seed, row, quoted(action))})"
         slots.append(f"if({fits}, struct({digest} as k, '{action}' as v), null)")
-    return f"sort_array(array_compact(array({', '.join(slots)}))).v"
+    return f"sort_array(array({', '.join(slots)})).v"
 
 
 def stats_text(stats: str = "stats", order: list[str] = C.PROMPT_STATS) -> str:
@@ -97,15 +100,15 @@ def scene_text(objects: str = "objects") -> str:
     return f"if(size({objects}) = 0, 'empty', array_join({ranked}, ', '))"
 
 
-def prompt_text(row: str, seed: int | str = C.DATA_SEED, stats: str = "stats", objects: str = "objects") -> str:
-    """Prompt with stats highest first, objects nearest first and shuffled actions."""
+def prompt_text(actions: str, stats: str = "stats", objects: str = "objects") -> str:
+    """Prompt with stats highest first, objects nearest first and the ``actions`` array as given."""
     lines = [
         quoted(C.PROMPT_INTRO),
         f"concat({quoted(C.PROMPT_STATS_HEAD)}, {stats_text(stats)})",
         quoted(C.PROMPT_RULE),
         quoted(C.PROMPT_GUIDE),
         f"concat({quoted(C.PROMPT_SCENE_HEAD)}, {scene_text(objects)})",
-        f"concat({quoted(C.PROMPT_ACTIONS_HEAD)}, array_join({shuffled_actions(row, seed, objects)}, ', '))",
+        f"concat({quoted(C.PROMPT_ACTIONS_HEAD)}, array_join({actions}, ', '))",
         quoted(C.PROMPT_TAIL),
     ]
     return f"concat_ws('\\n', {', '.join(lines)})"

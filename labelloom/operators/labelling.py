@@ -26,11 +26,17 @@ def label_requests(df: DataFrame, seed: int | str | None = None, key: str = "req
     return staged.withColumn("label", F.expr(label)).drop("_top", "_types", "_target")
 
 
+def with_prompt(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = "request_id", into: str = "prompt") -> DataFrame:
+    """Add the prompt text; the shuffle of its actions is fixed by seed and key."""
+    staged = df.withColumn("_types", F.expr("array_distinct(objects.type)")).withColumn(
+        "_actions", F.expr(scenes.shuffled_actions(key, seed, "_types"))
+    )
+    return staged.withColumn(into, F.expr(scenes.prompt_text("_actions"))).drop("_types", "_actions")
+
+
 def render_examples(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = "request_id") -> DataFrame:
     """Add prompt and completion texts to labelled requests."""
-    return df.withColumns(
-        {"prompt": F.expr(scenes.prompt_text(key, seed)), "completion": F.expr(scenes.completion_json())}
-    )
+    return with_prompt(df, seed, key).withColumn("completion", F.expr(scenes.completion_json()))
 
 
 def unpivot_stats(df: DataFrame, key: str = "request_id", stats: str = "stats") -> DataFrame:
@@ -59,25 +65,41 @@ def nearest_by_type(
     )
 
 
+def nearest_by_stat(
+    objects: DataFrame,
+    order: list[str],
+    key: str = "request_id",
+    kind: str = "type",
+    distance: str = "distance",
+    object_id: str = "id",
+) -> DataFrame:
+    """One row per request: the nearest object for each stat that needs one.
+
+    A single map-side reduced aggregate on the request key.
+    """
+    place = f"struct({', '.join([distance, *order])})"
+    aggs = []
+    for stat, types in C.STAT_TYPES.items():
+        if types:
+            fits = f"array_contains({scenes.string_array(types)}, {kind})"
+            aggs.append(
+                F.expr(f"min_by({object_id}, if({fits}, {place}, null))").alias(f"near_{stat}")
+            )
+    return objects.groupBy(key).agg(*aggs)
+
+
 def label_flat(requests: DataFrame, nearest: DataFrame, key: str = "request_id") -> DataFrame:
     """Rule labels for requests whose objects live in their own table.
 
-    ``nearest`` comes from ``nearest_by_type``: at most one row per request and type,
-    so the join is on a spread-out key and the regroup sees a handful of rows.
+    ``nearest`` comes from ``nearest_by_stat``; its grouping serves the join too.
     """
     top = with_dominant(requests, into="_top").select(
         key, "tick", "_top", F.expr(scenes.lookup(C.STAT_TYPES, "_top.stat")).alias("_types")
     )
-    wanted = top.join(nearest, key, "left")
-    fits = "array_contains(_types, type)"
-    best = wanted.groupBy(key).agg(
-        F.first("tick").alias("tick"),
-        F.first("_top").alias("_top"),
-        F.first("_types").alias("_types"),
-        F.expr(f"min_by(if({fits}, nearest_id, null), if({fits}, place, null))").alias("_target"),
-    )
+    cases = " ".join(f"when '{s}' then near_{s}" for s, types in C.STAT_TYPES.items() if types)
+    joined = top.join(nearest, key, "left").withColumn("_target", F.expr(f"case _top.stat {cases} end"))
     label = F.expr(scenes.rule_label("_top", "_types", "_target"))
-    return best.select(key, label.alias("label")).select(key, "label.*")
+    return joined.select(key, label.alias("label")).select(key, "label.*")
 
 
 def rule_lookup(labelled: DataFrame, rules: DataFrame, on: str = "stat") -> DataFrame:

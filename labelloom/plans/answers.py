@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import constants as C
 from labelloom.functions.responses import parse_responses, repair_targets, safe_answers
 from labelloom.operators import generate, quality, scoring
+from labelloom.operators.labelling import with_prompt
 from labelloom.plans import oracle as O
 from labelloom.plans import oracle_made  # noqa: F401
 from labelloom.plans import views as V
@@ -132,12 +133,7 @@ def evaluate_model(spark, sf):
 
 def _judged(spark, sf):
     """Probes from one id per order, answered by the stand-in model."""
-    from labelloom.functions.scenes import prompt_text
-
-    ids = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"))
-    probes = generate.make_probes(ids)
-    text = F.expr(prompt_text("request_id", C.PROBE_SEED))
-    asked = probes.withColumn("prompt", text)
+    asked = with_prompt(generate.make_probes(V.order_ids(spark, sf)), C.PROBE_SEED)
     return quality.judged(scoring.answer_requests(asked, make_prompt_reader))
 
 

@@ -18,7 +18,7 @@ _STATS = ", ".join(C.LABEL_STATS)
 
 
 def _ids(spark, sf):
-    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"))
+    return V.order_ids(spark, sf)
 
 
 def _objects_text():

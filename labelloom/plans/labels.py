@@ -27,7 +27,7 @@ def label_scenes(spark, sf):
 
 @query("label_flat_objects", O.sql(["flat_labels"], "SELECT request_id, stat, action, target_object_id, confidence FROM flat_labels"))
 def label_flat_objects(spark, sf):
-    near = labelling.nearest_by_type(V.scene_objects(spark, sf), V.OBJECT_ORDER)
+    near = labelling.nearest_by_stat(V.scene_objects(spark, sf), V.OBJECT_ORDER)
     return labelling.label_flat(V.requests(spark, sf), near)
 
 
@@ -54,8 +54,7 @@ def shuffle_actions(spark, sf):
 
 @query("render_prompt", O.sql(["prompts"], "SELECT request_id, prompt FROM prompts"))
 def render_prompt(spark, sf):
-    text = F.expr(scenes.prompt_text("request_id"))
-    return V.scenes(spark, sf).select("request_id", text.alias("prompt"))
+    return labelling.with_prompt(V.scenes(spark, sf)).select("request_id", "prompt")
 
 
 @query("render_completion", O.sql(["examples"], "SELECT request_id, completion FROM examples"))

@@ -55,3 +55,13 @@ def settled(df: DataFrame) -> DataFrame:
     """Rows stored reliably in the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has far fewer splits than there are cores.
+
+    For costly row-local work on a few small files. A table with enough splits comes
+    back unchanged, so nothing is shuffled at scale. Keep only needed columns first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
