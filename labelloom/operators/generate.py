@@ -23,8 +23,8 @@ from labelloom.operators.quality import (
 from labelloom.sources.jsonl import mark_lines, read_lines, write_examples
 
 KEY = "request_id"
-QUOTE = "'{}'"
-CONCAT_MIX = "concat('mix-', o.id)"
+MIX_TAG = "concat('mix-', o.id)"
+ORDER_TAG = "'order'"
 
 
 def _distance(low: float, high: float, u: str) -> str:
@@ -44,17 +44,18 @@ def stratify(ids: DataFrame, key: str = KEY) -> DataFrame:
 
 def add_stats(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
     """Stats with one high value; some rows get a second, lower high value."""
+    u = lambda tag: rand.unit(seed, key, f"'{tag}'")
     others = f"array_remove({scenes.string_array(C.LABEL_STATS)}, dominant)"
-    clash = f"{rand.unit(seed, key, QUOTE.format('clash'))} < {rand.number(C.CONFLICT_RATE)}"
-    second = f"if({clash}, {rand.choice(others, rand.unit(seed, key, QUOTE.format('second')))}, null)"
+    clash = f"{u('clash')} < {rand.number(C.CONFLICT_RATE)}"
+    second = f"if({clash}, {rand.choice(others, u('second'))}, null)"
 
     def value(stat: str) -> str:
-        u = rand.unit(seed, key, f"'stat-{stat}'")
+        draw = u(f"stat-{stat}")
         return (
-            f"case when dominant = '{stat}' and second is not null then {rand.between(0.80, 1.0, u)} "
-            f"when dominant = '{stat}' then {rand.between(0.70, 1.0, u)} "
-            f"when second = '{stat}' then {rand.between(0.60, 0.79, u)} "
-            f"else {rand.between(0.0, 0.35, u)} end"
+            f"case when dominant = '{stat}' and second is not null then {rand.between(0.80, 1.0, draw)} "
+            f"when dominant = '{stat}' then {rand.between(0.70, 1.0, draw)} "
+            f"when second = '{stat}' then {rand.between(0.60, 0.79, draw)} "
+            f"else {rand.between(0.0, 0.35, draw)} end"
         )
 
     stats = ", ".join(f"{value(s)} as {s}" for s in C.PROMPT_STATS)
@@ -69,7 +70,7 @@ def _object(seed: int | str, key: str, kind: str, low: float, high: float) -> st
 
 def mixed(objects: str, seed: int | str, key: str) -> str:
     """Objects in an order fixed by the digest of their ids."""
-    digest = f"md5({rand.key_text(seed, key, CONCAT_MIX)})"
+    digest = f"md5({rand.key_text(seed, key, MIX_TAG)})"
     return f"sort_array(transform({objects}, o -> struct({digest} as k, o as o))).o"
 
 
@@ -109,9 +110,15 @@ def make_examples(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY)
     return render_examples(named, seed, key)
 
 
-def in_mixed_order(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
-    """Rows spread over tasks and ordered in each by a digest of the id."""
-    return df.repartition(F.col(key)).sortWithinPartitions(F.expr(f"md5({rand.key_text(seed, key, QUOTE.format('order'))})"))
+def in_mixed_order(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
+    """Row ids spread over tasks and ordered in each by a digest of the id.
+
+    Only ids move; the wide texts are made afterwards, in place.
+    """
+    spark = ids.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids.rdd.getNumPartitions())
+    digest = F.expr(f"md5({rand.key_text(seed, key, ORDER_TAG)})")
+    return ids.repartition(tasks, key).sortWithinPartitions(digest)
 
 
 def generate_dataset(splits: dict[str, DataFrame], out_dir: str, seed: int = C.DATA_SEED, key: str = KEY) -> DataFrame:
@@ -124,7 +131,7 @@ def generate_dataset(splits: dict[str, DataFrame], out_dir: str, seed: int = C.D
     for name, ids in splits.items():
         salt = f"{seed}-{name}"
         target = f"{out_dir.rstrip('/')}/{name}"
-        write_examples(in_mixed_order(make_examples(ids, salt, key), salt, key), target)
+        write_examples(make_examples(in_mixed_order(ids.select(key), salt, key), salt, key), target)
         row = judge_examples(ids.sparkSession, target).select(F.lit(name).alias("split"), "*")
         verdicts = row if verdicts is None else verdicts.unionByName(row)
     if verdicts is None:

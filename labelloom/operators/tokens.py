@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import constants as C
@@ -14,21 +14,20 @@ VOCABULARY = 32_000
 BOS_ID = 1
 
 
-def word_ids(text: Column) -> Column:
-    """Ids of white-space separated words: a digest of each word, folded to the vocabulary."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % VOCABULARY).cast("int"),
-    )
+def word_ids(text: str, limit: int) -> str:
+    """Ids of the first white-space separated words of a text expression.
+
+    An id is a digest of the word, folded to the vocabulary. Words past the limit are
+    cut off before they are hashed.
+    """
+    words = f"slice(filter(split({text}, '\\\\s+'), w -> w != ''), 1, {limit})"
+    return f"transform({words}, w -> cast(cast(conv(substring(md5(w), 1, 6), 16, 10) as bigint) % {VOCABULARY} as int))"
 
 
 def tokenise_words(df: DataFrame, max_length: int = C.MAX_LENGTH) -> DataFrame:
     """Add input_ids (with a start token) and prompt_ids, both cut to ``max_length``."""
-    full = F.concat(F.array(F.lit(BOS_ID)), word_ids(F.concat("prompt", "completion")))
-    return df.withColumn("input_ids", F.slice(full, 1, max_length)).withColumn(
-        "prompt_ids", F.slice(word_ids(F.col("prompt")), 1, max_length)
-    )
+    full = f"concat(array({BOS_ID}), {word_ids('concat(prompt, completion)', max_length - 1)})"
+    return df.withColumn("input_ids", F.expr(full)).withColumn("prompt_ids", F.expr(word_ids("prompt", max_length)))
 
 
 def tokenise(

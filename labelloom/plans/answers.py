@@ -179,19 +179,52 @@ def _report(spark, sf):
     return quality.quality_report(_judged(spark, sf))
 
 
-@query("quality_report")
+_RATES = """SELECT count_if(kind='stat' AND target_ok)/nullif(count_if(kind='stat' AND target_counts),0) AS target,
+  count_if(kind='conflict' AND action_ok)/nullif(count_if(kind='conflict'),0) AS conflict,
+  count_if(kind='absent' AND action_ok)/nullif(count_if(kind='absent'),0) AS fallback FROM probe_judged"""
+_SHARE = """SELECT max(n)/sum(n) AS share FROM (SELECT action, count(*) AS n FROM probe_judged WHERE kind = 'random' GROUP BY 1)"""
+_STATS = """SELECT min(a) AS low, count(*) AS n FROM (
+  SELECT stat, count_if(action_ok)/count(*) AS a FROM probe_judged WHERE kind = 'stat' GROUP BY 1)"""
+_PASSED = """coalesce(low >= 0.90 AND n = 5, false) AS stats_passed, coalesce(target >= 0.90, true) AS target_passed,
+  coalesce(conflict >= 0.80, false) AS conflict_passed, coalesce(fallback >= 0.90, false) AS fallback_passed"""
+_FROM = "FROM r JOIN m ON true JOIN s ON true"
+_PARTS = {"r": _RATES, "m": _SHARE, "s": _STATS}
+
+
+@query("quality_report", O.sql(["probe_judged"], f"""
+SELECT printf('%.4f', low)::DOUBLE AS lowest_stat, printf('%.4f', target)::DOUBLE AS target, printf('%.4f', conflict)::DOUBLE AS conflict,
+       printf('%.4f', fallback)::DOUBLE AS fallback, printf('%.4f', share)::DOUBLE AS max_action_share,
+       stats_passed AND target_passed AND conflict_passed AND fallback_passed AND share <= 0.30 AS passed
+FROM (SELECT *, {_PASSED} {_FROM})""", **_PARTS))
 def quality_report(spark, sf):
+    """The nested report, read out into columns."""
+    accuracy = F.transform(F.map_values("per_stat_accuracy"), lambda r: r["accuracy"])
+    return _report(spark, sf).select(
+        F.array_min(accuracy).alias("lowest_stat"),
+        F.col("target_accuracy.accuracy").alias("target"),
+        F.col("priority_conflict.accuracy").alias("conflict"),
+        F.col("fallback_accuracy.accuracy").alias("fallback"),
+        "max_action_share",
+        F.col("pass").alias("passed"),
+    )
+
+
+@query("quality_report_json")
+def quality_report_json(spark, sf):
     """The nested report as JSON text, one row."""
     report = _report(spark, sf)
     return report.select(F.to_json(F.struct(*report.columns)).alias("report"))
 
 
-@query("rename_nested")
+@query("rename_nested", O.sql(["probe_judged"], f"""
+SELECT {_PASSED}, false AS old_key_left {_FROM}""", **_PARTS))
 def rename_nested(spark, sf):
     report = quality.rename_pass(_report(spark, sf))
+    text = F.to_json(F.struct(*report.columns))
     return report.select(
-        F.to_json(F.struct(*report.columns)).alias("report"),
-        F.col("passed"),
-        F.col("target_accuracy.passed").alias("target_passed"),
         F.forall(F.map_values("per_stat_accuracy"), lambda r: r["passed"]).alias("stats_passed"),
+        F.col("target_accuracy.passed").alias("target_passed"),
+        F.col("priority_conflict.passed").alias("conflict_passed"),
+        F.col("fallback_accuracy.passed").alias("fallback_passed"),
+        F.contains(text, F.lit('"pass":')).alias("old_key_left"),
     )

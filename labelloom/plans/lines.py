@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelloom.functions.text import stripped
 from labelloom.operators import quality, resample, series
 from labelloom.plans import oracle as O
 from labelloom.plans import views as V
@@ -88,22 +89,24 @@ def jsonl_glob(spark, sf):
     return marked.groupBy("split").agg(F.count("*").alias("rows"), _text_digest("prompt").alias("digest"))
 
 
-@query("line_numbers", O.sql(["lines"], """
-SELECT request_id + 1 AS line_no, kind IN (1,2) AS blank FROM lines"""))
+FILE_LINES = 100_000
+
+
+@query("line_numbers", O.sql(["lines"], f"""
+SELECT request_id // {FILE_LINES} AS file_no, row_number() OVER (PARTITION BY request_id // {FILE_LINES} ORDER BY request_id) AS line_no,
+       kind IN (1,2) AS blank FROM lines"""))
 def line_numbers(spark, sf):
-    """Line numbers of one file whose lines are in id order."""
+    """Line numbers of files that hold a fixed range of ids each, in id order."""
     path = work_path(spark, "numbered")
-    rows = V.example_lines(spark, sf).repartitionByRange(8, "request_id").sortWithinPartitions("request_id")
-    jsonl.write_lines(rows, path)
-    numbered = jsonl.number_lines(jsonl.read_lines(spark, path))
-    # Files follow each other in name order; the file start is the sum of the earlier ones.
-    from pyspark.sql import Window as W
-
-    sizes = numbered.groupBy("path").agg(F.max("line_no").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("path", before.alias("start"))
-    return numbered.join(starts, "path").select(
-        (F.col("start") + F.col("line_no")).alias("line_no"), F.trim(F.translate("value", "\t", " ")).eqNullSafe("").alias("blank")
+    file_no = F.floor(F.col("request_id") / FILE_LINES).alias("file_no")
+    rows = V.example_lines(spark, sf).select("request_id", file_no, "value")
+    ordered = rows.repartition("file_no").sortWithinPartitions("file_no", "request_id")
+    ordered.select("file_no", "value").write.partitionBy("file_no").text(path)
+    numbered = jsonl.number_lines(jsonl.read_lines(spark, f"{path}/*"))
+    return numbered.select(
+        F.regexp_extract("path", r"file_no=(\d+)", 1).cast("bigint").alias("file_no"),
+        "line_no",
+        (stripped(F.col("value")) == "").alias("blank"),
     )
 
 

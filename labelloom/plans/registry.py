@@ -9,6 +9,7 @@ from labelloom.operators import listing, quality, registry, series
 from labelloom.plans import oracle as O
 from labelloom.plans import views as V
 from labelloom.plans.catalogue import query
+from labelloom.sources import results
 from labelloom.sources.session import work_path
 
 NOW = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
@@ -303,7 +304,7 @@ FROM events GROUP BY 1""")
 def eval_results_scan(spark, sf):
     path = work_path(spark, "evals")
     verdicts(spark, sf).select(F.col("id").alias("run_id"), "valid_pct", "passed").write.json(path)
-    return spark.read.schema("run_id bigint, valid_pct double, passed boolean").json(path)
+    return results.read_eval_results(spark, path, "run_id bigint, valid_pct double, passed boolean")
 
 
 # -- overrides and guards ----------------------------------------------------
