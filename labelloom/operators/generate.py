@@ -110,18 +110,21 @@ def make_examples(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY)
     return render_examples(named, seed, key)
 
 
-def in_mixed_order(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
+def in_mixed_order(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY, tasks: int | None = None) -> DataFrame:
     """Row ids spread over tasks and ordered in each by a digest of the id.
 
-    Only ids move; the wide texts are made afterwards, in place.
+    Only ids move; the wide texts are made afterwards, in place. ``tasks`` sets the
+    number of output files and defaults to the session's shuffle partitions: with an
+    explicit number, small ids are not merged into few tasks that then do all the work.
     """
-    spark = ids.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids.rdd.getNumPartitions())
+    count = tasks or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digest = F.expr(f"md5({rand.key_text(seed, key, ORDER_TAG)})")
-    return ids.repartition(tasks, key).sortWithinPartitions(digest)
+    return ids.repartition(count, key).sortWithinPartitions(digest)
 
 
-def generate_dataset(splits: dict[str, DataFrame], out_dir: str, seed: int = C.DATA_SEED, key: str = KEY) -> DataFrame:
+def generate_dataset(
+    splits: dict[str, DataFrame], out_dir: str, seed: int = C.DATA_SEED, key: str = KEY, tasks: int | None = None
+) -> DataFrame:
     """Make, write, read back and judge each split; one verdict row per split.
 
     ``splits`` maps a name to a table of row ids. Each split salts the draws, and is
@@ -131,7 +134,7 @@ def generate_dataset(splits: dict[str, DataFrame], out_dir: str, seed: int = C.D
     for name, ids in splits.items():
         salt = f"{seed}-{name}"
         target = f"{out_dir.rstrip('/')}/{name}"
-        write_examples(make_examples(in_mixed_order(ids.select(key), salt, key), salt, key), target)
+        write_examples(make_examples(in_mixed_order(ids.select(key), salt, key, tasks), salt, key), target)
         row = judge_examples(ids.sparkSession, target).select(F.lit(name).alias("split"), "*")
         verdicts = row if verdicts is None else verdicts.unionByName(row)
     if verdicts is None:

@@ -95,6 +95,15 @@ def balance_gate(balance: DataFrame) -> DataFrame:
     ).withColumn("passed", (F.col("under") + F.col("over")) == 0)
 
 
+def require_balance(balance: DataFrame, shown: int = 20) -> None:
+    """Raise ValueError unless every class is inside the band; the text shows some of the violations."""
+    gate = balance_gate(balance).first()
+    if not gate["passed"]:
+        messages = balance_violations(balance).orderBy("class").limit(shown).collect()
+        head = f"{gate['under'] + gate['over']} of {gate['classes']} classes out of bounds:"
+        raise ValueError("\n  ".join([head, *[m["message"] for m in messages]]))
+
+
 def class_weights(df: DataFrame, column: str) -> DataFrame:
     """Add ``weight`` = n / (classes * rows of the class) to every row."""
     counts = settled(class_counts(df, column))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.responses import parse_responses, safe_answers
+from labelloom.functions.responses import is_ok, parse_responses, safe_answers
 from labelloom.operators.quality import valid_rate
 
 Scorer = Callable[[list[str]], list[str | None]]
@@ -54,6 +54,15 @@ def evaluate_model(marked: DataFrame, make_scorer: Callable[[], Scorer]) -> tupl
     return valid_rate(cells), cells
 
 
-def answer_requests(df: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFrame:
-    """Safe answers for requests that carry prompt and objects."""
-    return safe_answers(parse_responses(score_prompts(df, make_scorer)))
+def answer_requests(df: DataFrame, make_scorer: Callable[[], Scorer], strict: bool = False) -> DataFrame:
+    """Answers for requests that carry prompt and objects.
+
+    By default targets are repaired and failures become the idle answer. Strict answers
+    are taken as parsed, and the first one that is not valid stops the job.
+    """
+    parsed = parse_responses(score_prompts(df, make_scorer))
+    if not strict:
+        return safe_answers(parsed)
+    stop = F.raise_error(F.concat(F.lit("invalid response: "), F.coalesce("raw", F.lit("none")))).cast("string")
+    action = F.when(is_ok(F.col("answer.status")), F.col("answer.action")).otherwise(stop)
+    return parsed.withColumn("answer", F.col("answer").withField("action", action))

@@ -12,7 +12,10 @@ from pyspark.sql import Window as W
 
 from labelloom.functions.jsontext import parse_objects, text_field
 from labelloom.functions.text import stripped
+from labelloom.operators.lookup import join_lookup
 
+# One short row per file split; past this number the lines are shuffled instead.
+MAX_SPLITS = 1_000_000
 EXAMPLE_SCHEMA = "prompt string, completion string"
 
 
@@ -34,7 +37,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
     Rows of one file split sit together in one task in file order, so the row mark
     gives the place in the split; the running size of earlier splits gives the rest.
-    Only one row per split is shuffled for that sum.
+    Only one row per split is shuffled for that sum; it goes back to the lines as a
+    lookup, so the lines themselves stay where they are.
     """
     splits = lines.groupBy("path", "split_start").agg(
         F.count("*").alias("rows"), F.min("row_mark").alias("first_mark")
@@ -47,7 +51,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"),
     )
     line_no = F.col("before") + F.col("row_mark") - F.col("first_mark") + 1
-    return lines.join(starts, ["path", "split_start"]).select(
+    placed = join_lookup(lines, starts, ["path", "split_start"], "inner", max_rows=MAX_SPLITS)
+    return placed.select(
         "path", line_no.alias("line_no"), "value"
     )
 

@@ -110,3 +110,12 @@ def test_model_is_made_once_per_task_and_failures_are_contained(spark):
     df = spark.createDataFrame([(f"p{i}",) for i in range(5)], "prompt string")
     got = {r.prompt: r.raw for r in scoring.score_prompts(df, make).collect()}
     assert got == {"p0": "P0", "p1": "P1", "p2": "P2", "p3": None, "p4": "P4"}
+
+
+def test_strict_answers_stop_at_the_first_bad_one(spark):
+    df = spark.createDataFrame([("good", [("b", "bowl", 1.0)])], f"prompt string, objects {OBJECTS_TYPE}")
+    good = scoring.answer_requests(df, lambda: scoring.one_by_one(lambda p: '{"action":"EAT"}'), strict=True)
+    assert (good.first().answer.action, good.first().answer.target_object_id) == ("EAT", None)
+    bad = scoring.answer_requests(df, lambda: scoring.one_by_one(lambda p: "oops"), strict=True)
+    with pytest.raises(Exception, match="invalid response: oops"):
+        bad.collect()

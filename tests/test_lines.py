@@ -121,6 +121,13 @@ def test_balance(spark, counts, passed, flags):
     assert quality.balance_gate(balance).first().passed is passed
 
 
+def test_balance_can_raise(spark):
+    quality.require_balance(quality.class_balance(classes(spark, {c: 100 for c in "ABCDE"}), "c"))
+    skewed = quality.class_balance(classes(spark, {"A": 900, "B": 10, "C": 300, "D": 200, "E": 100}), "c")
+    with pytest.raises(ValueError, match=r"A overrepresented \(59.6% > 25%\)\n  B underrepresented \(0.7% < 5%\)"):
+        quality.require_balance(skewed)
+
+
 def test_missing_class_is_only_seen_when_expected(spark):
     df = classes(spark, {c: 100 for c in "ABCDE"})
     balance = quality.class_balance(df, "c", expected_classes=list("ABCDEF"))
