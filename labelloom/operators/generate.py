@@ -15,12 +15,12 @@ from labelloom.functions.text import rounded_sql
 from labelloom.operators.labelling import label_requests, render_examples
 from labelloom.operators.quality import (
     balance_gate,
-    class_balance,
-    validity_counts,
+    balance_of,
     with_class,
     with_validity,
 )
 from labelloom.sources.jsonl import mark_lines, read_lines, write_examples
+from labelloom.sources.session import settled
 
 KEY = "request_id"
 MIX_TAG = "concat('mix-', o.id)"
@@ -143,14 +143,24 @@ def generate_dataset(
 
 
 def judge_examples(spark: SparkSession, path: str) -> DataFrame:
-    """One row: line counts, balance counts and the verdict over written JSONL."""
-    marked = mark_lines(read_lines(spark, path))
-    counts = validity_counts(with_validity(marked))
-    balance = balance_gate(class_balance(with_class(marked), "class"))
+    """One row: line counts, balance counts and the verdict over written JSONL.
+
+    The files are read and parsed once; both judgements come from one small table of
+    counts per class.
+    """
+    rows = with_validity(with_class(mark_lines(read_lines(spark, path))))
+    cells = settled(
+        rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("valid").alias("ok"))
+    )
+    counts = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("ok"), F.lit(0)).alias("valid")
+    )
+    balance = balance_gate(balance_of(cells.filter(F.col("class").isNotNull()).select("class", "n")))
     both = counts.withColumn("_one", F.lit(1)).join(balance.withColumn("_one", F.lit(1)), "_one")
+    invalid = F.col("total") - F.col("valid")
     return both.select(
-        "total", "valid", "invalid", "classes", "under", "over",
-        ((F.col("invalid") == 0) & F.col("passed")).alias("passed"),
+        "total", "valid", invalid.alias("invalid"), "classes", "under", "over",
+        ((invalid == 0) & F.col("passed")).alias("passed"),
     )
 
 

@@ -60,6 +60,16 @@ def class_balance(
     if expected_classes is not None:
         names = df.sparkSession.createDataFrame([(c,) for c in expected_classes], "class string")
         counts = names.join(counts, "class", "full").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+    return balance_of(counts, low, high, min_rows)
+
+
+def balance_of(
+    counts: DataFrame,
+    low: float = C.MIN_CLASS_SHARE,
+    high: float = C.MAX_CLASS_SHARE,
+    min_rows: int = C.MIN_BALANCE_ROWS,
+) -> DataFrame:
+    """The same from a table of class and n."""
     total = F.coalesce(counts.agg(F.sum("n").alias("t")).scalar(), F.lit(0))
     share = F.col("share")
     flag = (
