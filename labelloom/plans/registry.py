@@ -12,8 +12,14 @@ from labelloom.plans.catalogue import query
 from labelloom.sources import results
 from labelloom.sources.session import work_path
 
-NOW = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
 NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def now():
+    """A fixed time of change, so that results can be compared."""
+    return F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+
+
 RUN_COLUMNS = ["id", "model_id", "workflow_id", "status", "eval_valid_pct", "progress", "progress_detail", "created_at", "updated_at"]
 _RUN_LIST = ", ".join(RUN_COLUMNS)
 
@@ -57,7 +63,7 @@ def registry_create(spark, sf):
         F.col("seq").alias("id"), (F.col("id") % 10).alias("model_id"),
         F.concat(F.lit("wf-"), F.col("seq").cast("string")).alias("workflow_id"), F.lit("pending").alias("status"),
     )
-    return registry.create_rows(V.runs(spark, sf), new, NOW)
+    return registry.create_rows(V.runs(spark, sf), new, now())
 
 
 @query("registry_get", O.sql(["runs", "changes"], """
@@ -143,12 +149,12 @@ def patch_artifact(spark, sf):
 
 @query("activate_exclusive", O.sql(["models"], f"SELECT id, id = 5 AS is_active, {NOW_SQL} AS updated_at FROM models"))
 def activate_exclusive(spark, sf):
-    return registry.activate_only(V.models(spark, sf), F.lit(5), NOW).select("id", "is_active", "updated_at")
+    return registry.activate_only(V.models(spark, sf), F.lit(5), now()).select("id", "is_active", "updated_at")
 
 
 @query("activate_unknown", O.sql(["models"], "SELECT id, is_active, updated_at FROM models"))
 def activate_unknown(spark, sf):
-    return registry.activate_only(V.models(spark, sf), F.lit(-1), NOW).select("id", "is_active", "updated_at")
+    return registry.activate_only(V.models(spark, sf), F.lit(-1), now()).select("id", "is_active", "updated_at")
 
 
 _VERDICTS = """SELECT user_id AS id, count_if(event_type <> 'error')/count(*) AS pct, max(ts) AS ts FROM events GROUP BY 1"""
