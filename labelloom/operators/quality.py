@@ -123,7 +123,7 @@ def class_weights(df: DataFrame, column: str) -> DataFrame:
         F.col("class").alias(column),
         (F.lit(float(rows)) / (F.lit(float(classes)) * F.col("n"))).alias("weight"),
     )
-    return join_lookup(df, weights, column, "inner", rows=classes)
+    return join_lookup(df, weights, column, "inner", stored=True)
 
 
 # -- validity ----------------------------------------------------------------

@@ -74,8 +74,8 @@ OBJECT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 def scene_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Objects as their own table; ``OBJECT_ORDER`` is their order in the scene."""
-    l = table(spark, sf, "lineitem")
-    return l.select(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *OBJECT_ORDER, "l_quantity")
+    return spread(lines).select(
         F.col("l_orderkey").alias("request_id"),
         F.concat_ws("_", F.lit("obj"), *[F.col(c).cast("string") for c in OBJECT_ORDER[:3]]).alias("id"),
         _object_type(F.col("l_partkey")).alias("type"),

@@ -92,3 +92,11 @@ def test_log_feed(spark, tmp_path):
     (folder / "a.txt").write_text("step 1\nWarning: Permanently added x\nremote port forwarding failed for y\nstep 2\n")
     stream = spark.readStream.text(str(folder)).withColumnRenamed("value", "line")
     assert [r.line for r in S.run_to_table(S.log_stream(stream), "l").collect()] == ["step 1", "step 2"]
+
+
+def test_table_stream_reads_a_file_or_a_folder(spark, sf, tmp_path):
+    whole = S.read_table_stream(spark, sf, "events")
+    want = S.run_to_table(whole.select("event_id"), "one").count()
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    parts = S.read_table_stream(spark, str(tmp_path), "events", files_per_trigger=2)
+    assert S.run_to_table(parts.select("event_id"), "many").count() == want > 0
