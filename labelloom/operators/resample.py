@@ -11,6 +11,7 @@ from labelloom.functions import rand
 
 # A 32-bit draw at rate one never reaches more copies than this.
 MAX_COPIES = 13
+CHUNK = 1024
 
 
 def _copies(rate: str, u: str) -> str:
@@ -28,19 +29,22 @@ def weighted_resample(
     """Each row repeated a Poisson(weight) number of times; n rows in expectation.
 
     A weight is cut into rates of at most one, drawn apart, so no weight is capped.
-    ``spread`` moves the pieces of heavy rows to different tasks before they multiply;
-    use it when some weights are very large.
+    Rows multiply in two steps, so a heavy row never holds all its pieces in memory.
+    ``spread`` moves the chunks of heavy rows to different tasks in between; use it
+    when some weights are very large.
     """
-    pieces = df.withColumn("_piece", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(weight).cast("int"), F.lit(1)))))
+    count = F.greatest(F.ceil(F.col(weight)).cast("bigint"), F.lit(1))
+    last_chunk = F.floor((count - 1) / CHUNK).cast("bigint")
+    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
     if spread:
-        pieces = pieces.repartition(F.col(key), F.col("_piece"))
+        chunks = chunks.repartition(F.col(key), F.col("_chunk"))
+    first = F.col("_chunk") * CHUNK + 1
+    pieces = chunks.withColumn("_piece", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), count))))
     rate = F.least(F.lit(1.0), F.col(weight) - (F.col("_piece") - 1))
     u = F.expr(rand.unit(seed, key, "concat('copies-', _piece)"))
     drawn = (
-        pieces.withColumn("_rate", rate)
-        .withColumn("_u", u)
-        .withColumn("_copies", F.expr(_copies("_rate", "_u")))
-        .filter(F.col("_copies") > 0)
+        pieces.withColumn("_rate", rate).withColumn("_u", u).withColumn("_copies", F.expr(_copies("_rate", "_u")))
     )
-    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copied.drop("_piece", "_copies", "_rate", "_u")
+    numbers = ", ".join(str(n) for n in range(1, MAX_COPIES + 1))
+    copied = drawn.withColumn("copy", F.explode(F.expr(f"slice(array({numbers}), 1, _copies)")))
+    return copied.drop("_chunk", "_piece", "_copies", "_rate", "_u")

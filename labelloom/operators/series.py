@@ -50,7 +50,8 @@ def heartbeat_gaps(beats: DataFrame, timeout_seconds: int, key: str = "run_id",
         return F.unix_micros(F.col(column).cast("timestamp"))
 
     limit = timeout_seconds * 1_000_000
-    blocks = beats.groupBy(key, F.floor(micros(ts) / limit).alias("_block")).agg(
+    start = micros(ts) - F.pmod(micros(ts), F.lit(limit))
+    blocks = beats.groupBy(key, start.alias("_block")).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last")
     )
     before = F.lag("_last").over(W.partitionBy(key).orderBy("_block"))
