@@ -32,7 +32,7 @@ def normalised(text: Column) -> Column:
 
 def _slot(depth: int) -> Column:
     """Leading bits of the hash; slot 0 at depth 0."""
-    return F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.lit(0).cast("bigint")
+    return F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.pmod(F.col("h"), F.lit(1).cast("bigint"))
 
 
 def text_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
