@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import ann, chat, exact, neardup, packing, pii, suffixes, toxicity, wordbpe
+from labelloom.llm import ann, chat, exact, langmodel, neardup, packing, pii, suffixes, toxicity, wordbpe
 from labelloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score_documents(table(spark, sf_dir, "documents"))
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -66,6 +70,7 @@ def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup,
+    "op2_lm_scoring": lm_scores,
     "op3_chat_formatting": chat_formatting,
     "op4_minhash_near_dedup": near_dedup,
     "op5_bpe": bpe,
