@@ -7,6 +7,7 @@ counts as empty, extra columns are ignored, and an empty table gives an empty re
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -57,8 +58,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -28,9 +28,7 @@ class Rolling:
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, _U(base & _MASK))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+                setattr(self, name, _powers_of(base, n))
 
     def read(self, data: np.ndarray) -> None:
         """Take a buffer of uint8."""
@@ -47,6 +45,25 @@ class Rolling:
         return mix((self.sums[size : size + n] - self.sums[:n]) * self.down[:n])
 
 
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    """Running sums of each row of a byte matrix, one column more than the rows have."""
+    n = rows.shape[1]
+    sums = np.zeros((len(rows), n + 1), np.uint64)
+    np.cumsum(_BYTES[rows] * _powers_of(_BASE, n), axis=1, out=sums[:, 1:])
+    return sums
+
+
+def row_hash(sums: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Hash of the columns ``start`` to ``stop - 1`` of each row."""
+    return mix((sums[:, stop] - sums[:, start]) * _powers_of(pow(_BASE, -1, 1 << 64), start + 1)[start])
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, _U(base & _MASK))
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -8,8 +8,8 @@ Equal windows have equal seeds at equal places, so no shared window is missed.
 
 1. Documents come in batches by id. A batch's anchors, sorted by their seeds, are its array,
    cut into buckets of seeds. The array is merge-scanned with the arrays of earlier levels:
-   seeds that two documents share are hits. Then the batch becomes a level; two levels of
-   equal size are merged into one of the next size, so there are log(batches) levels.
+   seeds that two documents share are hits. The same scan makes the batch a level, merged
+   with the levels of equal size, so there are log(batches) levels.
 2. Only hits fetch text: each sends its seed and the bytes around it to the bucket of the
    seed. There, for each of the places a seed can have in a window, equal windows are
    grouped, and every window whose group has a smaller document is marked.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import discard, id_and_text, release, reread, slices
-from labelloom.llm.hashing import Rolling, mix
+from labelloom.llm.hashing import Rolling, mix, row_hash, row_sums
 from labelloom.sources.session import work_path
 
 LENGTH = 50
@@ -38,16 +38,20 @@ SEED_BYTES = 20
 BATCHES = 4
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 64
+# Occurrences carry the bytes around them, so their buckets are finer.
+CONTEXT_BUCKET_BYTES = 8 << 20
+LEAST_CONTEXT_BUCKETS = 128
 SLICE = 2 << 20
 CHUNK_ANCHORS = 1 << 20
-# A seed that several documents are known to share, whose places are already among the hits.
-SHARED = np.uint32((1 << 32) - 1)
+CHUNK_HITS = 1 << 17
+# Stands for the documents of a seed that several are known to share; they are already among the hits.
+SHARED = -(1 << 63)
 NO_ID = (1 << 63) - 1
 
 HIT, LEVEL = 1, 2
-ENTRY = "kind int, bucket int, uid long, seeds binary, uids binary, places binary"
+ENTRY = "kind int, bucket int, uid long, seeds binary, uids binary, counts binary"
 _ENTRY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("uid", pa.int64()), ("seeds", pa.binary()),
-                    ("uids", pa.binary()), ("places", pa.binary())])
+                    ("uids", pa.binary()), ("counts", pa.binary())])
 CONTEXT = "bucket int, block binary, uid long, starts binary"
 _CONTEXT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("uid", pa.int64()), ("starts", pa.binary())])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -87,54 +91,62 @@ def anchors(hashed: np.ndarray, edges: np.ndarray, length: int = LENGTH, seed: i
     return np.unique(chosen)
 
 
-def _hit_rows(uids: np.ndarray, places: np.ndarray, bucket: int | np.ndarray) -> pa.RecordBatch:
-    """One row for each document with the places of its hits."""
+def _hit_rows(uids: np.ndarray, seeds: np.ndarray, bucket: int | np.ndarray) -> pa.RecordBatch:
+    """One row for each document with the seeds it shares."""
     order = np.argsort(uids, kind="stable")
-    uids, places = uids[order], places[order].astype("<u4")
+    uids, seeds = uids[order], seeds[order].astype("<u4")
     first, _ = _runs(uids)
-    blobs = [p.tobytes() for p in np.split(places, first[1:])] if len(first) else []
+    blobs = [p.tobytes() for p in np.split(seeds, first[1:])] if len(first) else []
     n = len(first)
     buckets = np.full(n, bucket) if np.isscalar(bucket) else np.arange(n) % bucket[0]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, HIT), pa.int32()), pa.array(buckets, pa.int32()), pa.array(uids[first], pa.int64()),
-         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], schema=_ENTRY,
+         pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_ENTRY,
     )
 
 
-def _level_row(bucket: int, seeds: np.ndarray, uids: np.ndarray, places: np.ndarray) -> list:
-    return [LEVEL, bucket, None, seeds.astype("<u4").tobytes(), uids.astype("<i8").tobytes(), places.astype("<u4").tobytes()]
+def _level_row(bucket: int, seeds: np.ndarray, uids: np.ndarray) -> list:
+    """Array part of a bucket, kept document by document: ids once, with the number of their seeds."""
+    order = np.argsort(uids, kind="stable")
+    uids = uids[order]
+    first, _ = _runs(uids)
+    counts = np.diff(np.append(first, len(uids)))
+    blobs = (seeds[order].astype("<u4"), uids[first].astype("<i8"), counts.astype("<u4"))
+    return [LEVEL, bucket, None, *[x.tobytes() for x in blobs]]
 
 
-def _shared(keys: np.ndarray, uids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared(keys: np.ndarray, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For entries sorted by key: whether two documents share the key, and which entries stay in an array.
 
-    Of a shared key one marker stays; others keep their places.
+    Of a shared key one entry stays, as its mark.
     """
     first, run = _runs(keys)
     lone = np.ones(len(first), bool)
-    np.logical_and.at(lone, run, (uids == uids[first][run]) & (places != SHARED))
+    np.logical_and.at(lone, run, (uids == uids[first][run]) & (uids != SHARED))
     shared = ~lone[run]
     stays = ~shared
     stays[first] = True
     return shared, stays
 
 
+def _seed_key(hashed: np.ndarray) -> np.ndarray:
+    """Another scrambling of seed hashes, as those of anchors are small ones; its low half names the seed."""
+    return mix(hashed ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
     """Array parts of the documents' anchors for each bucket, and hits within a task's documents."""
 
-    def emit(seeds: np.ndarray, uids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(seeds: np.ndarray, uids: np.ndarray) -> Iterator[pa.RecordBatch]:
         bucket = ((seeds >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         keys = (bucket.astype(np.uint64) << np.uint64(32)) | (seeds & np.uint64(0xFFFFFFFF))
         order = np.argsort(keys, kind="stable")
-        keys, uids, places, bucket = keys[order], uids[order], places[order], bucket[order]
-        shared, stays = _shared(keys, uids, places)
-        yield _hit_rows(uids[shared], places[shared], np.array([buckets]))
-        places = np.where(shared, SHARED, places)
-        keys, uids, places, bucket = keys[stays], uids[stays], places[stays], bucket[stays]
-        rows = []
-        for b, part in zip(*_parts(bucket), strict=True):
-            rows.append(_level_row(b, keys[part] & np.uint64(0xFFFFFFFF), uids[part], places[part]))
-        yield _entry_batch(rows)
+        keys, uids, bucket = keys[order], uids[order], bucket[order]
+        shared, stays = _shared(keys, uids)
+        yield _hit_rows(uids[shared], keys[shared] & np.uint64(0xFFFFFFFF), np.array([buckets]))
+        uids = np.where(shared, SHARED, uids)[stays]
+        keys, bucket = keys[stays] & np.uint64(0xFFFFFFFF), bucket[stays]
+        yield _entry_batch([_level_row(b, keys[part], uids[part]) for b, part in zip(*_parts(bucket), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, count = Rolling(), [], 0
@@ -146,8 +158,7 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
             hashed = rolling.windows(SEED_BYTES)
             at = anchors(hashed, edges)
             doc = np.searchsorted(edges, at, side="right") - 1
-            # another scrambling, as the smallest hashes are not spread evenly
-            held.append((mix(hashed[at] ^ np.uint64(0x5851F42D4C957F2D)), b.column("uid").to_numpy()[doc], (at - edges[doc]).astype(np.uint32)))
+            held.append((_seed_key(hashed[at]), b.column("uid").to_numpy()[doc]))
             count += len(at)
             if count >= CHUNK_ANCHORS:
                 yield from emit(*map(np.concatenate, zip(*held, strict=True)))
@@ -173,10 +184,11 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
 
 
-def _scan(new_level: bool):
-    """Merge the arrays of one bucket: hits between them, and the array of the new part.
+def _scan(keep: int | None):
+    """Merge the arrays of one bucket: hits between them, and the array of the new level.
 
-    Rows of earlier levels come with a negative uid column as their mark.
+    Rows of earlier levels carry the level's size as their uid. Levels of at most ``keep``
+    go into the new level with the batch; with None no level is made.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -186,21 +198,22 @@ def _scan(new_level: bool):
         out = [hits]
         if arrays.num_rows:
             sizes = np.array([len(x) // 4 for x in arrays.column("seeds").to_pylist()])
-            old = np.repeat(arrays.column("uid").is_valid().to_numpy(zero_copy_only=False), sizes)
-            seeds, uids = _joined(arrays.column("seeds"), "<u4"), _joined(arrays.column("uids"), "<i8")
-            places = _joined(arrays.column("places"), "<u4")
+            level = np.repeat(arrays.column("uid").fill_null(-1).to_numpy(), sizes)
+            seeds, counts = _joined(arrays.column("seeds"), "<u4"), _joined(arrays.column("counts"), "<u4")
+            uids = np.repeat(_joined(arrays.column("uids"), "<i8"), counts)
             order = np.argsort(seeds, kind="stable")
-            seeds, uids, places, old = seeds[order], uids[order], places[order], old[order]
-            shared, _ = _shared(seeds, uids, places)
-            found = shared & (places != SHARED)
-            out.append(pa.Table.from_batches([_hit_rows(uids[found], places[found], bucket)]))
-            mine = ~old if new_level else np.ones(len(seeds), bool)
-            places = np.where(shared, SHARED, places)[mine]
-            seeds, uids, shared = seeds[mine], uids[mine], shared[mine]
-            first, _ = _runs(seeds)
-            stays = ~shared
-            stays[first] = True
-            out.append(pa.Table.from_batches([_entry_batch([_level_row(bucket, seeds[stays], uids[stays], places[stays])])]))
+            seeds, uids, level = seeds[order], uids[order], level[order]
+            shared, _ = _shared(seeds, uids)
+            found = shared & (uids != SHARED)
+            out.append(pa.Table.from_batches([_hit_rows(uids[found], seeds[found], bucket)]))
+            if keep is not None:
+                mine = level <= keep
+                uids, seeds, shared = np.where(shared, SHARED, uids)[mine], seeds[mine], shared[mine]
+                first, _ = _runs(seeds)
+                stays = ~shared
+                stays[first] = True
+                row = _level_row(bucket, seeds[stays], uids[stays])
+                out.append(pa.Table.from_batches([_entry_batch([row])]))
         return pa.concat_tables([x.select(_ENTRY.names).cast(_ENTRY) for x in out])
 
     return run
@@ -227,32 +240,32 @@ class SuffixIndex:
         place = jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-    def add(self, docs: DataFrame) -> None:
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Scan a batch against all levels; it becomes a level itself, with those of its size, unless it is the last."""
         rows = batch_arrays(docs, self.buckets)
-        for _, path in self.levels:
-            rows = rows.union(self._level(path).withColumn("uid", F.lit(-1).cast("bigint")).select(rows.columns))
-        path = self._write(rows.groupBy("bucket").applyInArrow(_scan(True), ENTRY))
+        for size, path in self.levels:
+            rows = rows.union(self._level(path).withColumn("uid", F.lit(size).cast("bigint")).select(rows.columns))
+        size, merged = 0, []
+        while self.levels and not last and self.levels[-1][0] == size:
+            merged.append(self.levels.pop()[1])
+            size += 1
+        path = self._write(rows.groupBy("bucket").applyInArrow(_scan(None if last else size - 1), ENTRY))
         self.hits.append(path)
         if self._has(path, LEVEL):
-            self.levels.append((0, path))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, last), (_, before) = self.levels.pop(), self.levels.pop()
-            both = self._level(last).union(self._level(before))
-            merged = both.groupBy("bucket").applyInArrow(_scan(False), ENTRY).filter(F.col("kind") == LEVEL)
-            self.levels.append((size + 1, self._write(merged)))
-            discard(self.spark, f"{last}/kind={LEVEL}", f"{before}/kind={LEVEL}")
+            self.levels.append((size, path))
+        discard(self.spark, *[f"{p}/kind={LEVEL}" for p in merged])
         release(self.spark)
 
-    def places(self) -> DataFrame:
-        """uid and blobs of places where a document has a seed that another one shares."""
+    def shared_seeds(self) -> DataFrame:
+        """uid and blobs of the seeds that a document shares with another one."""
         found = [p for p in self.hits if self._has(p, HIT)]
-        rows = [self.spark.read.schema(ENTRY).parquet(f"{p}/kind={HIT}").select("uid", "places") for p in found]
+        rows = [self.spark.read.schema(ENTRY).parquet(f"{p}/kind={HIT}").select("uid", "seeds") for p in found]
         if not rows:
-            return self.spark.createDataFrame([], "uid long, places array<binary>")
+            return self.spark.createDataFrame([], "uid long, seeds array<binary>")
         every = rows[0]
         for r in rows[1:]:
             every = every.union(r)
-        return every.groupBy("uid").agg(F.collect_list("places").alias("places"))
+        return every.groupBy("uid").agg(F.collect_list("seeds").alias("seeds"))
 
     def drop_levels(self) -> None:
         discard(self.spark, *[f"{path}/kind={LEVEL}" for _, path in self.levels])
@@ -278,6 +291,12 @@ def _united(uids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield uid, mine[keep].tobytes()
 
 
+def _blocks(rows: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Parts of a matrix, so that work on 64-bit copies of its bytes stays small; one empty part if it is empty."""
+    for at in range(0, max(1, len(rows)), size):
+        yield rows[at : at + size]
+
+
 def _windows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and offset of every window that lies in its document around the row's seed."""
     offsets = np.arange(_LEFT + 1)
@@ -290,14 +309,19 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
 
     def occurrences(b: pa.RecordBatch, rolling: Rolling) -> np.ndarray:
         data, edges = _doc_bytes(b)
+        if len(data) < LENGTH:
+            return np.zeros(0, _OCCURRENCE)
         rolling.read(data)
-        at, doc = [], []
-        for i, blobs in enumerate(b.column("places").to_pylist()):
-            mine = np.unique(np.frombuffer(b"".join(blobs), "<u4")).astype(np.int64)
-            mine = mine[mine + SEED_BYTES <= edges[i + 1] - edges[i]]
-            at.append(mine + edges[i])
-            doc.append(np.full(len(mine), i))
-        at, doc = np.concatenate(at), np.concatenate(doc)
+        hashed = rolling.windows(SEED_BYTES)
+        at = anchors(hashed, edges)
+        doc = np.searchsorted(edges, at, side="right") - 1
+        # the anchors of a document whose seed is among those it shares
+        blobs = [b"".join(x) for x in b.column("seeds").to_pylist()]
+        wanted = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]).astype(np.uint64) << np.uint64(32)
+        wanted |= np.frombuffer(b"".join(blobs), "<u4")
+        mine = (doc.astype(np.uint64) << np.uint64(32)) | (_seed_key(hashed[at]) & np.uint64(0xFFFFFFFF))
+        pick = np.isin(mine, wanted)
+        at, doc = at[pick], doc[pick]
         rows = np.zeros(len(at), _OCCURRENCE)
         rows["seed"] = rolling.spans(at, at + SEED_BYTES)
         rows["doc"] = b.column("doc").to_numpy()[doc]
@@ -311,10 +335,8 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
         return rows
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
-        rolling.read(np.ascontiguousarray(rows["bytes"]).ravel())
-        first = np.arange(len(rows), dtype=np.int64) * _SPAN
-        same = mix(rolling.spans(first, first + _SPAN) ^ (rows["left"].astype(np.uint64) << np.uint64(8)) ^ rows["right"])
+        whole = np.concatenate([row_hash(row_sums(part), 0, _SPAN) for part in _blocks(rows["bytes"])])
+        same = mix(whole ^ (rows["left"].astype(np.uint64) << np.uint64(8)) ^ rows["right"])
         order = np.lexsort((rows["doc"], same))
         rows, same = rows[order], same[order]
         head, run = _runs(same)
@@ -333,10 +355,10 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, count = Rolling(), [], 0
-        for b in slices(batches, limit=SLICE):
+        for b in slices(batches, limit=SLICE // 4):
             held.append(occurrences(b, rolling))
             count += len(held[-1])
-            if count >= CHUNK_ANCHORS // 4:
+            if count >= CHUNK_HITS:
                 yield from emit(np.concatenate(held))
                 held, count = [], 0
         if count:
@@ -356,13 +378,17 @@ def marked_windows(t: pa.Table) -> pa.Table:
     first, run = _runs(rows["seed"])
     rows = rows[np.bincount(run)[run] > 1]
     rows = rows[np.argsort(rows["doc"], kind="stable")]
-    rolling = Rolling()
-    rolling.read(np.ascontiguousarray(rows["bytes"]).ravel())
-    base = np.arange(len(rows), dtype=np.int64) * _SPAN + _LEFT
-    uids, starts = [], []
+    hashes = np.empty((_LEFT + 1, len(rows)), np.uint64)
+    at = 0
+    for part in _blocks(rows["bytes"]):
+        sums = row_sums(part)
+        for offset in range(_LEFT + 1):
+            hashes[offset, at : at + len(part)] = row_hash(sums, _LEFT - offset, _LEFT - offset + LENGTH)
+        at += len(part)
+    uids, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for offset in range(_LEFT + 1):
         fits = np.flatnonzero((offset <= rows["left"]) & (LENGTH - offset <= rows["right"]))
-        hashed = rolling.spans(base[fits] - offset, base[fits] - offset + LENGTH)
+        hashed = hashes[offset, fits]
         order = np.argsort(hashed, kind="stable")
         head, run = _runs(hashed[order])
         docs = rows["doc"][fits][order]
@@ -394,14 +420,16 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame
     edges = sorted(set(docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
     index = SuffixIndex(spark, buckets)
     for low, high in zip([None, *edges], [*edges, None], strict=True):
+        last = high is None
         part = keyed
         if low is not None:
             part = part.filter(F.col("doc") > F.lit(int(low)))
         if high is not None:
             part = part.filter(F.col("doc") <= F.lit(int(high)))
-        index.add(part)
+        index.add(part, last)
     index.drop_levels()
-    near = contexts(keyed.join(index.places(), "uid").select("uid", "doc", "text", "places"), buckets)
+    buckets = max(LEAST_CONTEXT_BUCKETS, size // CONTEXT_BUCKET_BYTES)
+    near = contexts(keyed.join(index.shared_seeds(), "uid").select("uid", "doc", "text", "seeds"), buckets)
     path = work_path(spark, "suffix-contexts")
     near.write.option("compression", "zstd").parquet(path)
     near = reread(spark, path, near)
