@@ -27,9 +27,11 @@ from labelloom.llm.common import LETTERS, id_and_text, slices
 FIT_ROWS = 40_000
 MAX_WEIGHTS = 100_000
 PREFIXES = (4, 5)
-PRIOR = 200.0
-MIN_Z = 3.0
-MIN_COUNT = 4
+# Prior counts of a word: this share of its counts in all texts, and a part of one besides.
+PRIOR_SHARE = 0.01
+PRIOR_LEAST = 0.5
+MIN_Z = 4.0
+MIN_COUNT = 8
 DRIFT = -0.25
 MAX_WORDS = 500_000
 _LOWER = str.maketrans(*LETTERS)
@@ -123,8 +125,9 @@ def log_odds(counts: DataFrame) -> DataFrame:
     sums = counts.groupBy("feature").agg(F.sum("toxic").alias("y"), F.sum("clean").alias("x"))
     total = sums.agg(F.sum("y").alias("n1"), F.sum("x").alias("n0")).first()
     n1, n0 = float(total["n1"] or 0), float(total["n0"] or 0)
-    prior = (F.col("y") + F.col("x")) * F.lit(PRIOR / max(n1 + n0, 1.0))
-    side = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
+    prior = (F.col("y") + F.col("x")) * F.lit(PRIOR_SHARE) + F.lit(PRIOR_LEAST)
+    every = (n1 + n0) * PRIOR_SHARE + PRIOR_LEAST
+    side = lambda y, n: F.log((y + prior) / (F.lit(n + every) - y))
     odds = side(F.col("y"), n1) - side(F.col("x"), n0)
     spread = F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("x") + prior))
     return sums.select("feature", "y", odds.alias("odds"), (odds / spread).alias("z"))
@@ -156,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = id_and_text(docs, id_col, text_col).join(
         F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id"
     )
+    # copies of a text count once
+    texts = texts.dropDuplicates(["text"])
     counts = texts.filter("half = 0").select("text", "toxic").mapInArrow(
         _word_counts, "feature string, toxic long, clean long"
     )
