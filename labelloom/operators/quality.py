@@ -105,17 +105,17 @@ def balance_gate(balance: DataFrame) -> DataFrame:
     ).withColumn("passed", (F.col("under") + F.col("over")) == 0)
 
 
-def require_balance(balance: DataFrame, shown: int = 20) -> None:
-    """Raise ValueError unless every class is inside the band; the text shows some of the violations."""
+def require_balance(balance: DataFrame) -> None:
+    """Raise ValueError unless every class is inside the band; the text lists every violation, one per class."""
     gate = balance_gate(balance).first()
     if not gate["passed"]:
-        messages = balance_violations(balance).orderBy("class").limit(shown).collect()
+        messages = balance_violations(balance).orderBy("class").collect()
         head = f"{gate['under'] + gate['over']} of {gate['classes']} classes out of bounds:"
         raise ValueError("\n  ".join([head, *[m["message"] for m in messages]]))
 
 
 def class_weights(df: DataFrame, column: str) -> DataFrame:
-    """Add ``weight`` = n / (classes * rows of the class) to every row."""
+    """Add ``weight`` = n / (classes * rows of the class) to every row; a row without a class stops the job."""
     counts = settled(class_counts(df, column))
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
     rows, classes = sums["n"] or 0, sums["k"]
@@ -123,7 +123,8 @@ def class_weights(df: DataFrame, column: str) -> DataFrame:
         F.col("class").alias(column),
         (F.lit(float(rows)) / (F.lit(float(classes)) * F.col("n"))).alias("weight"),
     )
-    return join_lookup(df, weights, column, "inner", stored=True)
+    no_class = F.raise_error(F.lit(f"row without {column}")).cast("double")
+    return join_lookup(df, weights, column, "left", stored=True).withColumn("weight", F.coalesce("weight", no_class))
 
 
 # -- validity ----------------------------------------------------------------
@@ -185,9 +186,9 @@ def share_table(df: DataFrame, column: str, limit: float = C.MAX_ACTION_SHARE) -
 def action_accuracy(predicted: DataFrame, expected: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Totals and per-class counts of predictions against expected actions.
 
-    Both sides carry ``key``; an unparsable prediction counts as ``[INVALID]``.
+    Both sides carry ``key``; a missing or unparsable prediction counts as ``[INVALID]``.
     """
-    pairs = expected.join(predicted, key).select(
+    pairs = expected.join(predicted, key, "left").select(
         "expected", F.coalesce("predicted", F.lit("[INVALID]")).alias("predicted")
     )
     per_class = pairs.groupBy("predicted").agg(

@@ -15,6 +15,17 @@ from labelloom.functions import constants as C
 BLOCK_STEPS = 1_000_000
 
 
+def in_utc(clock: Column) -> Column:
+    """The moment at which a UTC clock shows a time without zone, whatever the session's zone is."""
+    return F.concat(clock.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_clock(moment: Column) -> Column:
+    """What a UTC clock shows at a moment, as a time without zone."""
+    seconds = (F.unix_micros(moment) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def current_rows(log: DataFrame, key: str, seq: str) -> DataFrame:
     """Last change row per key, as a map-side reduced aggregate."""
     rest = [c for c in log.columns if c != key]
@@ -46,8 +57,10 @@ def heartbeat_gaps(beats: DataFrame, timeout_seconds: int, key: str = "run_id",
     Blocks are as long as the timeout, so a too long gap always spans two blocks:
     the first and last beat per block are enough and no row-level window is needed.
     """
+    zoneless = beats.schema[ts].dataType.typeName() == "timestamp_ntz"
+
     def micros(column: str) -> Column:
-        return F.unix_micros(F.col(column).cast("timestamp"))
+        return F.unix_micros(in_utc(F.col(column)) if zoneless else F.col(column).cast("timestamp"))
 
     limit = timeout_seconds * 1_000_000
     start = micros(ts) - F.pmod(micros(ts), F.lit(limit))

@@ -62,7 +62,7 @@ def share_table(spark, sf):
     return quality.share_table(_answers(spark, sf).select("answer.action"), "action")
 
 
-_PAIRS = "SELECT l.action AS expected, coalesce(a.action,'[INVALID]') AS predicted FROM answers a JOIN labels l USING (request_id)"
+_PAIRS = "SELECT l.action AS expected, coalesce(a.action,'[INVALID]') AS predicted FROM labels l LEFT JOIN answers a USING (request_id)"
 
 
 def _accuracy(spark, sf):

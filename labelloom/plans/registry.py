@@ -319,8 +319,9 @@ def eval_results_scan(spark, sf):
 @query("resolve_overrides", O.sql(["models"], """
 SELECT e.event_id, coalesce(e.epochs, m.epochs) AS epochs,
        CASE WHEN coalesce(e.backend, m.backend) = 'local' THEN '' ELSE coalesce(e.backend, m.backend) END AS trigger_backend,
-       CASE WHEN coalesce(nullif(e.backend,''), m.backend) = 'local' THEN '' ELSE coalesce(nullif(e.backend,''), m.backend) END AS rerun_backend
-FROM asks e JOIN models m ON m.id = e.model_id""", asks="""
+       CASE WHEN coalesce(nullif(e.backend,''), m.backend) = 'local' THEN '' ELSE coalesce(nullif(e.backend,''), m.backend) END AS rerun_backend,
+       m.id IS NOT NULL AS model_known
+FROM asks e LEFT JOIN models m ON m.id = e.model_id""", asks="""
 SELECT event_id, user_id AS model_id, CASE WHEN event_type = 'view' THEN (event_id % 9)::INT END AS epochs,
        CASE event_type WHEN 'signup' THEN '' WHEN 'click' THEN 'local' WHEN 'purchase' THEN 'rented' END AS backend FROM events"""))
 def resolve_overrides(spark, sf):
@@ -330,14 +331,15 @@ def resolve_overrides(spark, sf):
         F.when(kind == "view", (F.col("event_id") % 9).cast("int")).alias("ask_epochs"),
         F.when(kind == "signup", "").when(kind == "click", "local").when(kind == "purchase", "rented").alias("ask_backend"),
     )
-    models = V.models(spark, sf).select(F.col("id").alias("model_id"), "epochs", "backend")
-    both = asks.join(models, "model_id")
+    models = V.models(spark, sf).select(F.col("id").alias("model_id"), "epochs", "backend", F.lit(True).alias("known"))
+    both = asks.join(models, "model_id", "left")
     ask, default = F.col("ask_backend"), F.col("backend")
     return both.select(
         "event_id",
         listing.null_override(F.col("ask_epochs"), F.col("epochs")).alias("epochs"),
         listing.local_as_empty(listing.null_override(ask, default)).alias("trigger_backend"),
         listing.local_as_empty(listing.empty_override(ask, default)).alias("rerun_backend"),
+        F.coalesce("known", F.lit(False)).alias("model_known"),
     )
 
 

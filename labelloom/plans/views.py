@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import constants as C
 from labelloom.operators.labelling import label_requests, render_examples
 from labelloom.sources.jsonl import json_line
-from labelloom.sources.session import spread, work_path
+from labelloom.sources.session import work_path
 
 MAX_OBJECTS = 6
 
@@ -50,7 +50,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with 0 to 5 nested objects; equal distances occur."""
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     places = F.array(*[F.lit(i).cast("bigint") for i in range(MAX_OBJECTS)])
     objects = F.transform(
@@ -75,7 +75,7 @@ OBJECT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 def scene_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Objects as their own table; ``OBJECT_ORDER`` is their order in the scene."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", *OBJECT_ORDER, "l_quantity")
-    return spread(lines).select(
+    return lines.select(
         F.col("l_orderkey").alias("request_id"),
         F.concat_ws("_", F.lit("obj"), *[F.col(c).cast("string") for c in OBJECT_ORDER[:3]]).alias("id"),
         _object_type(F.col("l_partkey")).alias("type"),
@@ -144,7 +144,7 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 10, '{"stat":"social","action":"SOCIAL","target_object_id":null,"confidence":1}')
         .otherwise('{"stat":"toilet","action":"TOILET","confidence":0.5}')
     )
-    events = spread(table(spark, sf, "events").select("event_id", "props"))
+    events = table(spark, sf, "events").select("event_id", "props")
     return events.select(e.alias("event_id"), e.alias("request_id"), raw.alias("raw"))
 
 
@@ -212,7 +212,7 @@ def models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def progress_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshot_rows(spread(table(spark, sf, "events").select("event_id", "user_id", "ts")))
+    return snapshot_rows(table(spark, sf, "events").select("event_id", "user_id", "ts"))
 
 
 def snapshot_rows(events: DataFrame) -> DataFrame:
@@ -282,4 +282,4 @@ def split_logs(d: DataFrame) -> DataFrame:
 
 def order_ids(spark: SparkSession, sf: str) -> DataFrame:
     """One row id per order, the input of the generators."""
-    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from labelloom.functions.jsontext import parse_objects, text_field
 from labelloom.functions.text import stripped
 from labelloom.operators.lookup import join_lookup
+from labelloom.sources.session import work_path
 
 # One short row per file split; past this number the lines are shuffled instead.
 MAX_SPLITS = 1_000_000
@@ -35,11 +36,16 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add line_no, counted from 1 in each file, without a global or per-file window.
 
-    Rows of one file split sit together in one task in file order, so the row mark
+    The lines are stored once and both the sizes of splits and the rows come from that
+    copy, so a split plan that changes between two scans can't lose any; a line whose split
+    is unknown stops the job. Rows of one file split sit together in one task in file order, so the row mark
     gives the place in the split; the running size of earlier splits gives the rest.
     Only one row per split is shuffled for that sum; it goes back to the lines as a
     lookup, so the lines themselves stay where they are.
     """
+    copy = work_path(lines.sparkSession, "numbered-lines")
+    lines.write.parquet(copy)
+    lines = lines.sparkSession.read.schema(lines.schema).parquet(copy)
     splits = lines.groupBy("path", "split_start").agg(
         F.count("*").alias("rows"), F.min("row_mark").alias("first_mark")
     )
@@ -50,8 +56,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
         "first_mark",
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"),
     )
-    line_no = F.col("before") + F.col("row_mark") - F.col("first_mark") + 1
-    placed = join_lookup(lines, starts, ["path", "split_start"], "inner", max_rows=MAX_SPLITS)
+    lost = F.raise_error(F.concat(F.col("path"), F.lit(": a line of an unknown split"))).cast("bigint")
+    line_no = F.coalesce(F.col("before"), lost) + F.col("row_mark") - F.col("first_mark") + 1
+    placed = join_lookup(lines, starts, ["path", "split_start"], "left", max_rows=MAX_SPLITS)
     return placed.select(
         "path", line_no.alias("line_no"), "value"
     )

@@ -50,7 +50,7 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: the one the cluster names.
 
-    Only where none is set (local tests) is a folder of our own made and set.
+    Only a local master without one (tests) gets a folder of our own; a cluster must name it.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
@@ -58,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(named)
         return named
+    if not context.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="labelloom-")
     context.setCheckpointDir(own)
     spark.conf.set(CHECKPOINT_CONF, own)
@@ -73,13 +75,3 @@ def settled(df: DataFrame) -> DataFrame:
     """Rows stored reliably in the shared folder and read from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has far fewer splits than there are cores.
-
-    For costly row-local work on a few small files. A table with enough splits comes
-    back unchanged, so nothing is shuffled at scale. Keep only needed columns first.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from labelloom.functions import constants as C
+from labelloom.operators.series import in_utc, utc_clock
 from labelloom.operators.tracking import denoise, normalise_progress
 from labelloom.sources.session import work_path
 
@@ -113,13 +114,14 @@ def heartbeat_sessions(beats: DataFrame, timeout_seconds: int, watermark: str =
     very often sends few rows to its task.
     """
     beats.sparkSession.conf.set(MERGE_LOCALLY, "true")
+    zoneless = beats.schema["ts"].dataType.typeName() == "timestamp_ntz"
     sessions = (
-        beats.withColumn("ts", F.col("ts").cast("timestamp"))
+        beats.withColumn("ts", in_utc(F.col("ts")) if zoneless else F.col("ts").cast("timestamp"))
         .withWatermark("ts", watermark)
         .groupBy("run_id", F.session_window("ts", f"{timeout_seconds} seconds").alias("w"))
         .agg(F.count("*").alias("beats"), F.max(F.col("state").isin(C.TERMINAL_STATES)).alias("finished"))
     )
-    start, end = (F.col(f"w.{n}").cast("timestamp_ntz").alias(n) for n in ("start", "end"))
+    start, end = (utc_clock(F.col(f"w.{n}")).alias(n) for n in ("start", "end"))
     return sessions.select("run_id", start, end, "beats", "finished")
 
 
