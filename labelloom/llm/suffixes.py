@@ -170,6 +170,8 @@ def batch_arrays(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _parts(sorted_groups: np.ndarray) -> tuple[list[int], list[slice]]:
+    if not len(sorted_groups):
+        return [], []
     first, _ = _runs(sorted_groups)
     stops = [*first[1:].tolist(), len(sorted_groups)]
     return sorted_groups[first].tolist(), [slice(a, b) for a, b in zip(first.tolist(), stops, strict=True)]
