@@ -4,8 +4,9 @@ Every text is a set of word shingles. Equal sets are one class. A forest of sort
 stands over the classes' MinHash signatures: each tree sorts them by its own sequence of
 minima, and neighbours with a common prefix of at least ``MIN_DEPTH`` minima are
 candidates. How deep a region is compared follows its size: in a small region (rows that
-share the least prefix) all rows are neighbours, in a larger one the deeper order decides
-who stands next to whom. A range sort cuts a hot region into even tasks.
+share a prefix) all rows are neighbours, a larger one is split by one more minimum at a time
+until its parts are small, and besides every row meets the ``NEAR`` next ones of the order.
+A range sort cuts a hot region into even tasks.
 
 Candidates are confirmed on the full sets. A first group of trees finds most links; pairs
 of the others are confirmed only where they would join two components. Classes with
@@ -126,14 +127,19 @@ def tree_rows(classes: DataFrame, first: int, last: int) -> DataFrame:
 
 def _neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (smaller node first) among rows in tree order."""
-    same = (tree[1:] == tree[:-1]) & (keys[1:, : 4 * MIN_DEPTH] == keys[:-1, : 4 * MIN_DEPTH]).all(axis=1)
-    region = np.concatenate([[0], np.cumsum(~same)]) if len(node) else np.empty(0, np.int64)
-    rows = np.bincount(region)[region] if len(node) else region
+    words = keys.view(">u4")
+    prefix = np.logical_and.accumulate(words[1:] == words[:-1], axis=1) & (tree[1:] == tree[:-1])[:, None]
+    depths = []
+    for depth in range(MIN_DEPTH, DEPTH + 1) if len(node) else ():
+        region = np.concatenate([[0], np.cumsum(~prefix[:, depth - 1])])
+        depths.append((region, np.bincount(region)[region] <= REGION))
     left, right = [], []
     for lag in range(1, REGION):
-        pick = np.flatnonzero(region[lag:] == region[:-lag])
-        if lag > NEAR:
-            pick = pick[rows[pick] <= REGION]
+        meets = np.zeros(max(0, len(node) - lag), bool)
+        for at, (region, small) in enumerate(depths):
+            together = region[lag:] == region[:-lag]
+            meets |= together if lag <= NEAR and not at else together & small[lag:]
+        pick = np.flatnonzero(meets)
         a, b = node[pick], node[pick + lag]
         low, high = np.minimum(size[pick], size[pick + lag]), np.maximum(size[pick], size[pick + lag])
         fits = (100 * low >= PERCENT * high) & (a != b)
