@@ -23,23 +23,37 @@ def _copies(rate: str, u: str) -> str:
     return " + ".join(hits)
 
 
+def _cut(ranges: DataFrame, size: int) -> DataFrame:
+    """Ranges (_from, _to] cut into parts of ``size``."""
+    parts = ranges.withColumn("_i", F.explode(F.expr(f"sequence(0L, (_to - _from - 1) div {size}L)")))
+    start = F.col("_from") + F.col("_i") * size
+    return parts.withColumn("_to", F.least(F.col("_to"), start + size)).withColumn("_from", start).drop("_i")
+
+
 def weighted_resample(
-    df: DataFrame, seed: int | str, key: str, weight: str = "weight", spread: bool = False
+    df: DataFrame, seed: int | str, key: str, weight: str = "weight", spread: bool = True
 ) -> DataFrame:
     """Each row repeated a Poisson(weight) number of times; n rows in expectation.
 
     A weight is cut into rates of at most one, drawn apart, so no weight is capped.
-    Rows multiply in two steps, so a heavy row never holds all its pieces in memory.
-    ``spread`` moves the chunks of heavy rows to different tasks in between; use it
-    when some weights are very large.
+    A weight beyond ``CHUNK`` is cut into ranges that go to different tasks, again and
+    again until a range has ``CHUNK`` pieces at most, so a row never makes more than that
+    many at once. The greatest weight, looked up first, says how many rounds that takes.
+    ``spread`` moves all rows once even if their weights are small, so that the copies of
+    a rare class, whose rows may sit together, are made by many tasks.
     """
+    greatest = df.agg(F.max(F.ceil(F.col(weight)).cast("bigint")).alias("m")).first()["m"] or 1
+    rounds = 1 if spread else 0
+    while CHUNK ** (rounds + 1) < greatest:
+        rounds += 1
     count = F.greatest(F.ceil(F.col(weight)).cast("bigint"), F.lit(1))
-    last_chunk = F.floor((count - 1) / CHUNK).cast("bigint")
-    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-    if spread:
-        chunks = chunks.repartition(F.col(key), F.col("_chunk"))
-    first = F.col("_chunk") * CHUNK + 1
-    pieces = chunks.withColumn("_piece", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), count))))
+    ranges = df.withColumn("_from", F.lit(0).cast("bigint")).withColumn("_to", count)
+    # with a number, adaptive execution leaves these small rows in as many tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for level in range(rounds, 0, -1):
+        ranges = _cut(ranges, CHUNK**level).repartition(tasks, F.col(key), F.col("_from"))
+    ranges = _cut(ranges, 1)
+    pieces = ranges.withColumnRenamed("_to", "_piece").drop("_from")
     rate = F.least(F.lit(1.0), F.col(weight) - (F.col("_piece") - 1))
     u = F.expr(rand.unit(seed, key, "concat('copies-', _piece)"))
     drawn = (
@@ -47,4 +61,4 @@ def weighted_resample(
     )
     numbers = ", ".join(str(n) for n in range(1, MAX_COPIES + 1))
     copied = drawn.withColumn("copy", F.explode(F.expr(f"slice(array({numbers}), 1, _copies)")))
-    return copied.drop("_chunk", "_piece", "_copies", "_rate", "_u")
+    return copied.drop("_piece", "_copies", "_rate", "_u")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.responses import is_ok, parse_responses, safe_answers
 from labelloom.operators.quality import valid_rate
+from labelloom.sources.session import settled
 
 Scorer = Callable[[list[str]], list[str | None]]
 
@@ -44,13 +45,13 @@ def evaluate_model(marked: DataFrame, make_scorer: Callable[[], Scorer]) -> tupl
     """Valid-answer rate and action counts over rows from ``mark_lines``.
 
     Lines that are not JSON are left out; JSON that is no object counts as invalid.
+    The answers are stored once, and both tables come from them.
     """
     rows = marked.filter("json_ok").select("is_object", F.coalesce("prompt", F.lit("")).alias("prompt"))
     parsed = parse_responses(score_prompts(rows, make_scorer))
     status = F.when(F.col("is_object"), F.col("answer.status")).otherwise("bad_line")
-    cells = parsed.select(
-        status.alias("status"), F.when(F.col("is_object"), F.col("answer.action")).alias("action")
-    )
+    action = F.when(F.col("is_object"), F.col("answer.action"))
+    cells = settled(parsed.select(status.alias("status"), action.alias("action")))
     return valid_rate(cells), cells
 
 

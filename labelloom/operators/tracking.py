@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import constants as C
+from labelloom.functions.jsontext import parse_objects
 from labelloom.functions.text import fixed, stripped
 
-SNAPSHOT_SCHEMA = (
-    "fraction double, detail string, step bigint, max_steps bigint, epoch string, "
-    "elapsed_s string, loss double, eval_loss double, grad_norm double, _bad string"
-)
-_OPTIONS = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+SNAPSHOT_FIELDS = ["fraction", "detail", "step", "max_steps", "epoch", "elapsed_s", *C.NOTEBOOK_METRICS]
 
 
 def mapped_state(raw: Column, states: dict[str, str | None]) -> Column:
@@ -70,31 +67,63 @@ def artifact_key(name: Column, run_id: Column, model_id: Column, path: Column) -
     return F.when(F.endswith(key, F.lit(".gz")), key).otherwise(F.concat(key, F.lit(".gz")))
 
 
+def _kind(value: Column) -> Column:
+    """Kind of a JSON value: NUMBER, STRING, VOID (a JSON null) or another; null without a value."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), "NUMBER").otherwise(kind)
+
+
+def _number(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "double")
+
+
+def _shown(value: Column, default: str) -> Column:
+    """Text of a JSON value: whole numbers without a point, null as None, ``default`` without a value."""
+    text = (
+        F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("string"))
+        .when(_kind(value) == "NUMBER", _number(value).cast("string"))
+        .when(_kind(value) == "VOID", "None")
+        .otherwise(F.try_variant_get(value, "$", "string"))
+    )
+    return F.when(value.isNull(), default).otherwise(text)
+
+
 def normalise_progress(snapshots: DataFrame, body: str = "body", source: str = "notebook") -> DataFrame:
-    """Add fraction and detail from either snapshot shape; unreadable text is (0.0, '').
+    """Add fraction and detail from a snapshot; unreadable text is (0.0, '').
 
-    ``source`` picks the parts of the text built from step counts: ``notebook`` shows
-    step, epoch, elapsed time and three metrics, ``host`` epoch and two metrics.
+    ``source`` says what the text is built from: ``notebook`` shows step, epoch, elapsed
+    time and three metrics, ``host`` epoch and two metrics, ``stored`` holds fraction and
+    detail. A body with one of these two and no step counts is read as ``stored`` too.
+    A missing step is 0 of 1; a metric or step that is there but no number makes the body
+    unreadable.
     """
-    parsed = snapshots.withColumn("_s", F.from_json(body, SNAPSHOT_SCHEMA, _OPTIONS))
-    s = F.col("_s")
-    bad = s.isNull() | s["_bad"].isNotNull()
-    counted = s["step"].isNotNull() | s["max_steps"].isNotNull()
-    step = F.coalesce(s["step"], F.lit(0))
-    steps = F.coalesce(s["max_steps"], F.lit(1))
-    epoch = F.concat(F.lit("epoch="), F.coalesce(s["epoch"], F.lit("?")))
+    parsed = parse_objects(snapshots, F.col(body), SNAPSHOT_FIELDS, "_s")
+    s = {n: F.col(f"_s_fields.{n}") for n in SNAPSHOT_FIELDS}
+    has = {n: s[n].isNotNull() for n in SNAPSHOT_FIELDS}
+    wrong = lambda n: has[n] & (_kind(s[n]) != "NUMBER")
+    counted = F.lit(source != "stored") & (has["step"] | has["max_steps"] | ~(has["fraction"] | has["detail"]))
     metrics = C.NOTEBOOK_METRICS if source == "notebook" else C.HOST_METRICS
-    shown = [F.concat(F.lit(f"{m}="), fixed(s[m], 4)) for m in metrics]
+    parts = [F.concat(F.lit("epoch="), _shown(s["epoch"], "?"))]
     if source == "notebook":
-        place = F.concat(F.lit("step="), step.cast("string"), F.lit("/"), steps.cast("string"))
-        spent = F.concat(F.lit("elapsed="), F.coalesce(s["elapsed_s"], F.lit("?")), F.lit("s"))
-        parts = [place, epoch, spent, *shown]
-    else:
-        parts = [epoch, *shown]
-    from_steps = F.coalesce(F.try_divide(step.cast("double"), steps.cast("double")), F.lit(0.0))
-    fraction = F.when(bad, 0.0).when(counted, from_steps).otherwise(F.coalesce(s["fraction"], F.lit(0.0)))
-    detail = F.when(bad, "").when(counted, F.concat_ws("  ", *parts)).otherwise(F.coalesce(s["detail"], F.lit("")))
-    return parsed.withColumn("fraction", fraction).withColumn("detail", detail).drop("_s")
+        place = F.concat(F.lit("step="), _shown(s["step"], "0"), F.lit("/"), _shown(s["max_steps"], "1"))
+        parts = [place, *parts, F.concat(F.lit("elapsed="), _shown(s["elapsed_s"], "?"), F.lit("s"))]
+    parts += [F.when(has[m], F.concat(F.lit(f"{m}="), fixed(_number(s[m]), 4))) for m in metrics]
+    no_steps = has["max_steps"] & (F.coalesce(_number(s["max_steps"]), F.lit(0.0)) == 0) & (
+        (_kind(s["max_steps"]) == "NUMBER") | (_kind(s["max_steps"]) == "VOID")
+    )
+    broken = wrong("max_steps") & ~no_steps
+    for m in metrics:
+        broken = broken | wrong(m)
+    broken = broken | (wrong("step") & ~no_steps)
+    step = F.coalesce(_number(s["step"]), F.lit(0.0))
+    from_steps = F.when(no_steps, 0.0).otherwise(step / F.coalesce(_number(s["max_steps"]), F.lit(1.0)))
+    told = F.when(has["fraction"], _number(s["fraction"])).otherwise(0.0)
+    bad = F.coalesce(~F.col("_s_object") | F.when(counted, broken).otherwise(told.isNull()), F.lit(True))
+    fraction = F.when(bad, 0.0).when(counted, from_steps).otherwise(told)
+    detail = F.when(bad, "").when(counted, F.concat_ws("  ", *parts)).otherwise(_shown(s["detail"], ""))
+    out = parsed.withColumn("_fraction", fraction).withColumn("_detail", detail)
+    kept = [c for c in snapshots.columns if c not in ("fraction", "detail")]
+    return out.select(*kept, F.col("_fraction").alias("fraction"), F.col("_detail").alias("detail"))
 
 
 def latest_progress(rows: DataFrame, key: str = "run_id", order: Column | None = None) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import stripped
 from labelloom.operators import quality, resample, series
+from labelloom.operators.labelling import label_requests, render_examples
 from labelloom.plans import oracle as O
 from labelloom.plans import views as V
 from labelloom.plans.catalogue import query
 from labelloom.sources import jsonl
-from labelloom.sources.session import work_path
+from labelloom.sources.session import settled, work_path
 
 
 def _written_lines(spark, sf, rows=None):
@@ -34,7 +35,7 @@ SELECT count(*)::BIGINT AS rows, {_DIGEST.format("prompt||completion")} AS diges
 def jsonl_strict(spark, sf):
     path = work_path(spark, "strict")
     jsonl.write_examples(V.examples(spark, sf), path)
-    rows = jsonl.strict_examples(jsonl.read_lines(spark, path))
+    rows = jsonl.strict_examples(jsonl.number_lines(jsonl.read_lines(spark, path)))
     return rows.agg(F.count("*").alias("rows"), _text_digest("prompt", "completion").alias("digest"))
 
 
@@ -77,19 +78,19 @@ def jsonl_roundtrip(spark, sf):
 SELECT CASE WHEN request_id % 11 = 10 THEN 'eval' ELSE 'train' END AS split, count(*)::BIGINT AS rows,
        {_DIGEST.format("prompt")} AS digest FROM examples GROUP BY 1"""))
 def jsonl_glob(spark, sf):
-    """All JSONL files under a dataset folder; the folder name is the split."""
+    """All ``*.jsonl`` tables under a dataset folder; the name is the split."""
     root = work_path(spark, "dataset")
-    split = F.when(F.col("request_id") % 11 == 10, "eval").otherwise("train")
+    name = F.when(F.col("request_id") % 11 == 10, "eval.jsonl").otherwise("train.jsonl")
     line = jsonl.json_line(F.col("prompt"), F.col("completion"))
-    V.examples(spark, sf).select(split.alias("split"), line.alias("value")).write.partitionBy("split").text(
+    V.examples(spark, sf).select(name.alias("name"), line.alias("value")).write.partitionBy("name").text(
         root, lineSep="\n"
     )
-    lines = jsonl.read_lines(spark, f"{root}/*", glob="*.txt")
-    marked = jsonl.mark_lines(lines).withColumn("split", F.regexp_extract("path", r"split=(\w+)", 1))
+    lines = jsonl.read_lines(spark, f"{root}/*.jsonl")
+    marked = jsonl.mark_lines(lines).withColumn("split", F.regexp_extract("path", r"name=(\w+)\.jsonl/", 1))
     return marked.groupBy("split").agg(F.count("*").alias("rows"), _text_digest("prompt").alias("digest"))
 
 
-FILE_LINES = 100_000
+FILE_LINES = 5_000
 
 
 @query("line_numbers", O.sql(["lines"], f"""
@@ -134,7 +135,9 @@ def error_sample(spark, sf):
 
 @query("head_sample", O.sql(["examples"], "SELECT request_id, prompt FROM examples ORDER BY request_id LIMIT 20"))
 def head_sample(spark, sf):
-    return series.head(V.examples(spark, sf).select("request_id", "prompt"), "request_id", 20)
+    """The first scenes are taken before any prompt is made."""
+    first = series.head(V.scenes(spark, sf), "request_id", 20)
+    return render_examples(label_requests(first)).select("request_id", "prompt")
 
 
 _FLAGS = {
@@ -204,7 +207,7 @@ SELECT request_id, class, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FRO
 def class_weights_lines(spark, sf):
     """Weights of example lines; a line without a readable class counts as idle."""
     marked = jsonl.mark_lines(V.stored_lines(spark, sf))
-    rows = quality.with_class(marked, strict=False).select("request_id", "class")
+    rows = settled(quality.with_class(marked, strict=False).select("request_id", "class"))
     return quality.class_weights(rows, "class").select("request_id", "class", "weight")
 
 

@@ -244,20 +244,24 @@ cte("holders", [], "SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_ord
 # -- tracking ----------------------------------------------------------------
 
 cte("snapshots", [], """
-SELECT user_id AS run_id, ts, event_id, event_id % 4 AS shape, event_id % 50 AS step, event_id % 5 AS f, event_id % 3 AS st,
+SELECT user_id AS run_id, ts, event_id, CASE WHEN event_id % 24 IN (3, 7, 11, 15) THEN event_id % 24 + 100 ELSE event_id % 4 END AS shape, event_id % 50 AS step, event_id % 5 AS f, event_id % 3 AS st,
        event_id % 900 AS el, event_id % 97 AS ls FROM events""")
 
 
 def progress_cte(name: str, source: str) -> None:
     steps = "'epoch=1.5  loss='||printf('%.4f', ('0.'||ls)::DOUBLE)"
     none = "'epoch=?  eval_loss=0.2500'"
+    bare, lossy, halfway = "'epoch=?'", "'epoch=?  loss=0.5000'", "'epoch=?'"
     if source == "notebook":
         steps = "'step='||step||'/50  epoch=1.5  elapsed='||el||'s  loss='||printf('%.4f', ('0.'||ls)::DOUBLE)"
         none = "'step='||step||'/0  epoch=?  elapsed=?s  eval_loss=0.2500'"
+        bare = "'step=0/1  epoch=?  elapsed=?s'"
+        lossy, halfway = "'step=0/1  epoch=?  elapsed=?s  loss=0.5000'", "'step=10.0/20  epoch=?  elapsed=?s'"
     cte(name, ["snapshots"], f"""
 SELECT run_id, ts, event_id,
-       CASE shape WHEN 0 THEN ('0.'||f)::DOUBLE WHEN 1 THEN step/50.0::DOUBLE ELSE 0.0 END AS fraction,
-       CASE shape WHEN 0 THEN 'stage '||st WHEN 1 THEN {steps} WHEN 2 THEN {none} ELSE '' END AS detail
+       CASE shape WHEN 0 THEN ('0.'||f)::DOUBLE WHEN 1 THEN step/50.0::DOUBLE WHEN 111 THEN 0.5 ELSE 0.0 END AS fraction,
+       CASE shape WHEN 0 THEN 'stage '||st WHEN 1 THEN {steps} WHEN 2 THEN {none} WHEN 103 THEN {bare}
+         WHEN 107 THEN {lossy} WHEN 111 THEN {halfway} ELSE '' END AS detail
 FROM snapshots""")
 
 

@@ -309,8 +309,11 @@ SELECT user_id AS run_id, count_if(event_type <> 'error')/count(*) AS valid_pct,
 FROM events GROUP BY 1""")
 def eval_results_scan(spark, sf):
     path = work_path(spark, "evals")
-    verdicts(spark, sf).select(F.col("id").alias("run_id"), "valid_pct", "passed").write.json(path)
-    return results.read_eval_results(spark, path, "run_id bigint, valid_pct double, passed boolean")
+    share = F.col("valid_pct").cast("string")
+    quoted = F.when(F.col("id") % 3 == 0, F.concat(F.lit('"'), share, F.lit('"'))).otherwise(share)
+    line = F.format_string('{"run_id": %s, "valid_pct": %s, "passed": %s}', F.col("id"), quoted, F.col("passed"))
+    verdicts(spark, sf).select(line.alias("value")).write.text(path)
+    return results.read_eval_results(spark, path).withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
 # -- overrides and guards ----------------------------------------------------

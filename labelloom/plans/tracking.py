@@ -10,6 +10,7 @@ from labelloom.operators import series, tracking
 from labelloom.plans import oracle as O
 from labelloom.plans import views as V
 from labelloom.plans.catalogue import query
+from labelloom.sources import results
 from labelloom.sources.session import work_path
 
 
@@ -102,17 +103,24 @@ def resolve_status(spark, sf):
     )
 
 
-@query("log_scan", O.sql(["log_lines"], """
-SELECT run_id, count(*)::BIGINT AS lines, sum(('0x'||substr(md5(line),1,8))::BIGINT)::BIGINT AS digest FROM log_lines GROUP BY 1"""))
+RUN_DOCUMENTS = 50
+
+
+@query("log_scan", O.sql(["log_lines"], f"""
+SELECT run_id, count(*)::BIGINT AS lines, sum(('0x'||substr(md5(line_no||':'||line),1,8))::BIGINT)::BIGINT AS digest FROM (
+  SELECT run_id // {RUN_DOCUMENTS} AS run_id, line, row_number() OVER (PARTITION BY run_id // {RUN_DOCUMENTS} ORDER BY run_id, pos) AS line_no
+  FROM log_lines) GROUP BY 1"""))
 def log_scan(spark, sf):
-    """Log lines written as text with their run id in front, read back and split."""
+    """One log file per run (``RUN_DOCUMENTS`` documents each), read back with line numbers."""
     path = work_path(spark, "logs")
-    V.log_lines(spark, sf).select(F.concat(F.col("run_id").cast("string"), F.lit("\t"), "line").alias("value")).write.text(path)
-    raw = spark.read.text(path, lineSep="\n")
-    parts = F.split("value", "\t", 2)
-    lines = raw.select(parts[0].cast("bigint").alias("run_id"), parts[1].alias("line"))
-    word = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")
-    return lines.groupBy("run_id").agg(F.count("*").alias("lines"), F.sum(word).alias("digest"))
+    run = F.floor(F.col("run_id") / RUN_DOCUMENTS).alias("run")
+    rows = V.log_lines(spark, sf).select(run, F.col("run_id").alias("doc"), "pos", F.col("line").alias("value"))
+    ordered = rows.repartition("run").sortWithinPartitions("run", "doc", "pos")
+    ordered.select("run", "value").write.partitionBy("run").text(path, lineSep="\n")
+    lines = results.read_run_logs(spark, path, "*.txt", line_sep="\n")
+    word = F.conv(F.substring(F.md5(F.concat(F.col("line_no").cast("string"), F.lit(":"), "line")), 1, 8), 16, 10).cast("bigint")
+    run_id = F.split_part("run_id", F.lit("="), F.lit(2)).cast("bigint").alias("run_id")
+    return lines.groupBy(run_id).agg(F.count("*").alias("lines"), F.sum(word).alias("digest"))
 
 
 @query("log_tail", O.sql(["log_lines"], """

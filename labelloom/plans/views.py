@@ -216,7 +216,7 @@ def progress_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_rows(events: DataFrame) -> DataFrame:
-    """Progress bodies in both shapes, with zero max_steps and broken text among them."""
+    """Progress bodies in both shapes, with zero or missing counts, null metrics and broken text among them."""
     e = F.col("event_id")
     num = lambda n: (e % n).cast("string")
     body = (
@@ -230,6 +230,10 @@ def snapshot_rows(events: DataFrame) -> DataFrame:
                      num(900), F.lit(', "loss": 0.'), num(97), F.lit("}")),
         )
         .when(e % 4 == 2, F.concat(F.lit('{"step": '), num(50), F.lit(', "max_steps": 0, "eval_loss": 0.25}')))
+        .when(e % 24 == 3, "{}")
+        .when(e % 24 == 7, '{"loss": 0.5}')
+        .when(e % 24 == 11, '{"step": 10.0, "max_steps": 20}')
+        .when(e % 24 == 15, '{"step": 5, "max_steps": 10, "loss": null}')
         .otherwise("{broken")
     )
     return events.select(F.col("user_id").alias("run_id"), "ts", "event_id", body.alias("body"))

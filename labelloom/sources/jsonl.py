@@ -20,11 +20,13 @@ MAX_SPLITS = 1_000_000
 EXAMPLE_SCHEMA = "prompt string, completion string"
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
     """Columns value, path, split_start and a row mark that grows within a split."""
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if line_sep:
+        reader = reader.option("lineSep", line_sep)
     return reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("path"),

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.functions.jsontext import parse_objects
 from labelloom.sources.jsonl import number_lines, read_lines
 
-EVAL_SCHEMA = "run_id string, valid_pct double, passed boolean"
-
 
 def run_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
@@ -23,14 +22,40 @@ def read_run_texts(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     return texts.select(run_of(F.col("_metadata.file_path")).alias("run_id"), F.col("value").alias("body"))
 
 
-def read_run_logs(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, root: str, file_name: str, line_sep: str | None = None) -> DataFrame:
     """Columns run_id, line_no and line from one log file per run folder."""
-    lines = number_lines(read_lines(spark, f"{root}/*", glob=file_name))
+    lines = number_lines(read_lines(spark, f"{root}/*", glob=file_name, line_sep=line_sep))
     return lines.select(run_of(F.col("path")).alias("run_id"), "line_no", F.col("value").alias("line"))
 
 
-def read_eval_results(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def eval_results(texts: DataFrame, body: str = "body") -> DataFrame:
+    """Add valid_pct and passed from the result text; a number may be quoted, any value says whether it passed.
+
+    Text that is no object, a missing key or a share that is no number stops the job.
+    """
+    parsed = parse_objects(texts, F.col(body), ["valid_pct", "passed"], "_e")
+    share, passed = F.col("_e_fields.valid_pct"), F.col("_e_fields.passed")
+    value = F.try_variant_get(share, "$", "double")
+    kind = F.schema_of_variant(passed)
+    truth = (
+        F.when(kind == "BOOLEAN", F.try_variant_get(passed, "$", "boolean"))
+        .when(kind == "VOID", False)
+        .when(kind == "STRING", F.try_variant_get(passed, "$", "string") != "")
+        .otherwise(F.coalesce(F.try_variant_get(passed, "$", "double") != 0, F.lit(True)))
+    )
+    whole = F.col("_e_object") & passed.isNotNull()
+    stop = lambda kind: F.raise_error(F.concat(F.lit("eval result: "), F.coalesce(body, F.lit("")))).cast(kind)
+    return parsed.select(
+        *texts.columns,
+        F.coalesce(F.when(whole, value), stop("double")).alias("valid_pct"),
+        F.coalesce(F.when(whole, truth), stop("boolean")).alias("passed"),
+    )
+
+
+def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, valid_pct and passed of result lines that carry their run id."""
+    lines = spark.read.text(path).withColumn("run_id", F.get_json_object("value", "$.run_id"))
+    return eval_results(lines, "value").select("run_id", "valid_pct", "passed")
 
 
 def write_report(report: DataFrame, path: str) -> None:

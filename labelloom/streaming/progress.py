@@ -13,7 +13,6 @@ from labelloom.sources.session import work_path
 
 SNAPSHOT_FILE_SCHEMA = "run_id bigint, ts timestamp, event_id bigint, body string"
 WATERMARK = "10 minutes"
-MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -110,10 +109,9 @@ def current_terminal(log: DataFrame) -> DataFrame:
 def heartbeat_sessions(beats: DataFrame, timeout_seconds: int, watermark: str = WATERMARK) -> DataFrame:
     """Closed sessions of beats; a session without a terminal state is a lost run.
 
-    Beats are merged to sessions in each input partition first, so a run that beats
-    very often sends few rows to its task.
+    ``build_session`` has beats merged to sessions in each input partition first, so a run
+    that beats very often sends few rows to its task.
     """
-    beats.sparkSession.conf.set(MERGE_LOCALLY, "true")
     zoneless = beats.schema["ts"].dataType.typeName() == "timestamp_ntz"
     sessions = (
         beats.withColumn("ts", in_utc(F.col("ts")) if zoneless else F.col("ts").cast("timestamp"))

@@ -1,5 +1,7 @@
 """Nothing is lost or capped, and results don't depend on the session's time zone."""
 
+from labelloom.operators import resample, tracking
+from labelloom.sources import results
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,37 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_progress_semantics(spark):
+    bodies = {
+        "{}": (0.0, "epoch=?"), '{"loss":0.5}': (0.0, "epoch=?  loss=0.5000"), "[1]": (0.0, ""), "": (0.0, ""),
+        '{"step":10.0,"max_steps":20}': (0.5, "epoch=?"), '{"step":1,"max_steps":2,"loss":null}': (0.0, ""),
+        '{"step":1,"max_steps":0,"epoch":2.0}': (0.0, "epoch=2.0"), '{"step":"1","max_steps":2}': (0.0, ""),
+        '{"step":1,"max_steps":2,"epoch":null}': (0.5, "epoch=None"), '{"fraction":0.25,"detail":"x"}': (0.25, "x"),
+    }
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = {r.body: (r.fraction, r.detail) for r in tracking.normalise_progress(frame, source="host").collect()}
+    assert got == bodies
+    told = {'{"fraction":"0.5"}': (0.5, ""), '{"fraction":null}': (0.0, ""), '{"step":3}': (0.0, ""), '{"detail":7}': (0.0, "7")}
+    frame = spark.createDataFrame([(b,) for b in told], "body string")
+    assert {r.body: (r.fraction, r.detail) for r in tracking.normalise_progress(frame, source="stored").collect()} == told
+    note = spark.createDataFrame([('{"step":10.0,"max_steps":20,"grad_norm":1}',)], "body string")
+    assert tracking.normalise_progress(note).first().detail == "step=10.0/20  epoch=?  elapsed=?s  grad_norm=1.0000"
+
+
+def test_eval_result_values(spark):
+    frame = spark.createDataFrame([('{"valid_pct":"0.95","passed":1}',), ('{"valid_pct":1,"passed":null}',)], "body string")
+    assert sorted((r.valid_pct, r.passed) for r in results.eval_results(frame).collect()) == [(0.95, True), (1.0, False)]
+    for body in ('{"valid_pct":0.5}', '{"valid_pct":"x","passed":true}', "{broken"):
+        with pytest.raises(Exception, match="eval result"):
+            results.eval_results(spark.createDataFrame([(body,)], "body string")).collect()
+
+
+def test_huge_weights(spark):
+    frame = spark.createDataFrame([(1, 1.2e6), (2, 0.5)], "id long, weight double")
+    drawn = resample.weighted_resample(frame, 1, "id", spread=False)
+    assert abs(drawn.filter("id = 1").count() - 1_200_000) < 6000
+    heavy = spark.createDataFrame([(1, 40000.0)], "id long, weight double")
+    parts = resample.weighted_resample(heavy, 1, "id").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 3 and abs(sum(r["count"] for r in parts) - 40000) < 1500
