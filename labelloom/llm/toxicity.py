@@ -133,17 +133,21 @@ def log_odds(counts: DataFrame) -> DataFrame:
     return sums.select("feature", "y", odds.alias("odds"), (odds / spread).alias("z"))
 
 
-def decay_rate(scores: np.ndarray, drift: float) -> float:
-    """The positive solution of mean(exp(rate * score)) = 1 over the words of clean texts."""
-    values = np.where(scores > 0, scores, drift)
-    if not (values > 0).any() or values.mean() >= 0:
+def decay_rate(scores: np.ndarray, others: int, drift: float) -> float:
+    """The positive solution of mean(exp(rate * score)) = 1 over the words of clean texts.
+
+    ``scores`` are the positive ones; the ``others`` score ``drift``.
+    """
+    n = len(scores) + others
+    if not len(scores) or scores.sum() + drift * others >= 0:
         return 1.0
+    mean = lambda rate: (np.exp(rate * scores).sum() + others * math.exp(rate * drift)) / n
     low, high = 0.0, 1.0
-    while np.exp(high * values).mean() < 1 and high < 50:
+    while mean(high) < 1 and high < 50:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(mid * values).mean() < 1 else (low, mid)
+        low, high = (mid, high) if mean(mid) < 1 else (low, mid)
     return min(max(low, 0.2), 2.0)
 
 
@@ -176,8 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     clean = seen[seen["toxic"] == 0]
     positive = np.concatenate([np.asarray(p) for p in clean["positive"]] or [np.empty(0)])
     rest = max(0, int(clean["n_words"].sum()) - len(positive))
-    if len(positive):
-        model.rate = decay_rate(np.concatenate([positive, np.zeros(min(rest, 5_000_000))]), model.drift)
+    model.rate = decay_rate(positive, rest, model.drift)
     both = np.array([
         _beyond(list(p), list(s), n, model) for p, s, n in zip(seen["places"], seen["positive"], seen["n_words"], strict=True)
     ])
