@@ -282,3 +282,25 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out.checkpoint() if spark.sparkContext.getCheckpointDir() else out
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_least_hashed_rows_are_those_of_a_full_sort(spark):
+    from pyspark.sql import functions as F
+
+    from labelloom.llm.common import least_hashed
+
+    rows = spark.range(20_000)
+    got = {r["id"] for r in least_hashed(rows, 500, "id").collect()}
+    assert got == {r["id"] for r in rows.orderBy(F.xxhash64("id")).limit(500).collect()}
+    assert least_hashed(rows.limit(0), 500, "id").count() == 0
+    assert least_hashed(rows.limit(3), 500, "id").count() == 3
+
+
+def test_overlaps(spark):
+    rng = random.Random(6)
+    spans = sorted((a, 0, a + rng.randrange(1, 9)) for a in rng.sample(range(300), 40))
+    cover = pii.Cover(spans)
+    for _ in range(500):
+        a = rng.randrange(300)
+        s = (a, 1, a + rng.randrange(1, 9))
+        assert cover.meets(s) == any(x < s[2] and s[0] < y for x, _, y in spans)
