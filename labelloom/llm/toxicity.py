@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import LETTERS, id_and_text, slices
+from labelloom.llm.common import LETTERS, id_and_text, least_hashed, slices
 
 FIT_ROWS = 40_000
 MAX_WEIGHTS = 100_000
@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2))
     known = labels.select(id_col, "toxic").filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-    chosen = known.dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows).withColumn("half", half)
+    # a repeated label counts once, the toxic one of two that differ
+    known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    chosen = least_hashed(known, rows, id_col).withColumn("half", half)
     # at most FIT_ROWS ids of a few bytes
     texts = id_and_text(docs, id_col, text_col).join(
         F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id"
