@@ -9,8 +9,10 @@ until its parts are small, and besides every row meets the ``NEAR`` next ones of
 A range sort cuts a hot region into even tasks.
 
 Candidates are confirmed on the full sets. A first group of trees finds most links; pairs
-of the others are confirmed only where they would join two components. Classes with
-the same component form the result.
+of the others are confirmed only where they would join two components. Rows of regions
+that were too large for all to meet then go through an exact join of their prefixes
+(``crossing_pairs``), so a crowd hides no link. Classes with the same component form the
+result.
 """
 
 from __future__ import annotations
@@ -38,9 +40,13 @@ NEAR = 2
 # A pair counts as linked when 100 * common >= PERCENT * union.
 PERCENT = 75
 SEED = 7
+# Shingles are ordered by counts in 2**COUNT_BITS cells, which the driver holds; any order gives the same links.
+COUNT_BITS = 20
+COUNT_BLOCK = 1 << 14
 
 SETS = "doc_id long, n_shingles long, set_key string, signature binary"
 TREE_ROW = "tree int, key binary, node long, size long"
+PREFIX = "shingle long, node long, size long, left long, tail long"
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -148,13 +154,21 @@ def _neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, size: np.n
     return np.concatenate(left), np.concatenate(right)
 
 
+def _crowded(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows, in tree order, of regions too large for all rows to meet, or that may go on in another task."""
+    words = keys.view(">u4")
+    new = (words[1:, :MIN_DEPTH] != words[:-1, :MIN_DEPTH]).any(axis=1) | (tree[1:] != tree[:-1])
+    region = np.concatenate([[0], np.cumsum(new)])
+    return (np.bincount(region)[region] > REGION) | (region == 0) | (region == region[-1])
+
+
 def _arrays(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, 4 * DEPTH)
     return (t.column("tree").to_numpy(), keys, t.column("node").to_numpy(), t.column("size").to_numpy())
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct candidate pairs a < b of sorted tree neighbours.
+def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs a < b of sorted tree neighbours, and the nodes of crowded regions.
 
     Each task scans one range of the order. The rows at its ends are handed on, so that
     neighbours in two ranges meet too.
@@ -166,7 +180,9 @@ def candidates(rows: DataFrame) -> DataFrame:
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        a, b = _neighbours(*_arrays(t))
+        tree, keys, node, size = _arrays(t)
+        a, b = _neighbours(tree, keys, node, size)
+        crowd = np.unique(node[_crowded(tree, keys)])
         none = lambda n, kind: pa.nulls(n, kind)
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int32()), ("at", pa.int32()),
                             ("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64()), ("size", pa.int64())])
@@ -174,6 +190,10 @@ def candidates(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(a), pa.array(b), *[none(n, schema.field(i).type) for i in range(2, 8)]], schema=schema
         )
+        n = len(crowd)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(crowd), *[none(n, schema.field(i).type) for i in range(1, 8)]], schema=schema
+        )
         place, ends = TaskContext.get().partitionId(), min(t.num_rows, REGION - 1)
         for border, part, shift in ((place, t.slice(0, ends), ends), (place + 1, t.slice(t.num_rows - ends), 0)):
             at = np.arange(ends, dtype=np.int32) + (REGION if shift else 0)
@@ -188,14 +208,21 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     ordered = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = stored(ordered.mapInArrow(run, edge), "forest-pairs")
-    inside = found.filter("border is null").select("a", "b")
+    inside = found.filter("border is null and b is not null").select("a", "b")
+    crowd = found.filter("border is null and b is null").select(F.col("a").alias("node"))
     between = found.filter("border is not null").groupBy("border").applyInArrow(across, "a long, b long")
-    return inside.union(between).distinct()
+    return inside.union(between).distinct(), crowd.distinct()
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node and its sorted shingles for every document that stands in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return sets_of_nodes(docs, nodes, id_col, text_col)
+
+
+def sets_of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node and its sorted shingles for every document among the distinct nodes."""
+    wanted = nodes.select(F.col("node").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -225,6 +252,94 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each cell."""
+    blocks = (1 << COUNT_BITS) // COUNT_BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            values = np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.uint64)
+            counts += np.bincount(_cells(values), minlength=len(counts))
+        parts = [(k, part.tobytes()) for k, part in enumerate(counts.reshape(blocks, -1)) if part.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"]
+        )
+
+    kind = "block int, counts binary"
+    out = np.zeros((blocks, COUNT_BLOCK), np.int64)
+    for r in sets.select("shingles").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The first shingles of each set in the order of counts, so many that linked sets have one in common.
+
+    ``left`` is the number of shingles from this one on, ``tail`` a hash of them all.
+    """
+    shipped = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part, cols = b.slice(at, 512), []
+                for node, x in zip(part.column("node").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    x = np.frombuffer(x, np.uint64)
+                    x = x[np.lexsort((x, counts[_cells(x)]))]
+                    n = len(x)
+                    take = min(n, n + 1 - (PERCENT * n + 99) // 100)
+                    tails = np.cumsum(mix(x)[::-1], dtype=np.uint64)[::-1]
+                    cols.append((x[:take].view(np.int64), np.full(take, node), np.full(take, n),
+                                 n - np.arange(take), tails[:take].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), pa.int64()) for c in zip(*cols, strict=True)],
+                    ["shingle", "node", "size", "left", "tail"],
+                )
+
+    return sets.mapInArrow(run, PREFIX)
+
+
+def crossing_pairs(rows: DataFrame) -> DataFrame:
+    """From prefixes with the root of each node: pairs whose links join all components that any links join.
+
+    The first common shingle of a linked pair is in both prefixes, and all they have in
+    common is in their tails from there. Of the sets with one tail the smallest stands for
+    the others: if x and y are linked there, so are x with the one that stands for y, y
+    with the one for x, and those two with each other. So rows meet only these. Of a shingle's
+    commonest component, rows meet only the ones of other components.
+    """
+    per_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    shared = per_root.groupBy("shingle").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")
+    ).filter("roots > 1").select("shingle", "main")
+    rows = stored(rows.join(shared, "shingle").select("*", (F.col("root") != F.col("main")).alias("other")), "prefixes")
+    heads = rows.groupBy("shingle", "left", "tail").agg(F.min(F.struct("size", "node", "root", "other")).alias("h")).select(
+        "shingle", F.col("left").alias("left_h"), F.col("h.size").alias("size_h"), F.col("h.node").alias("node_h"),
+        F.col("h.root").alias("root_h"), F.col("h.other").alias("other_h"),
+    )
+    # overlap >= PERCENT % of the union, at most the shorter tail in common
+    fits = f"root <> root_h and {100 + PERCENT} * least(left, left_h) >= {PERCENT} * (size + size_h)"
+    ends = [F.least("node", "node_h").alias("a"), F.greatest("node", "node_h").alias("b")]
+    few = rows.filter("other").join(heads, "shingle").filter(fits).select(*ends)
+    many = rows.filter("not other").join(heads.filter("other_h"), "shingle").filter(fits).select(*ends)
+    return few.union(many).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the smallest node reachable over the links a, b.
 
@@ -266,11 +381,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "set_key", F.col("c.doc_id").alias("node"), F.col("c.n_shingles").alias("size"), "c.signature"
         ), "classes",
     )
-    first = stored(candidates(tree_rows(classes, 0, FIRST_TREES)), "pairs")
+    pairs, crowd = candidates(tree_rows(classes, 0, FIRST_TREES))
+    first = stored(pairs, "pairs")
     links = stored(confirm(first, sets_of(docs, first, id_col, text_col)), "links")
     roots = components(links)
     release(spark)
-    rest = candidates(tree_rows(classes, FIRST_TREES, TREES)).join(first, ["a", "b"], "left_anti")
+    rest, more_crowd = candidates(tree_rows(classes, FIRST_TREES, TREES))
+    rest = rest.join(first, ["a", "b"], "left_anti")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = (
         rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -280,7 +397,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = stored(confirm(apart, sets_of(docs, apart, id_col, text_col)), "links")
     release(spark)
     # the first components, as links to their roots, joined by the links that were still missing
-    roots = components(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    rooted = lambda: roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(rooted().union(more))
+    # rows of crowded regions, exactly
+    crowd = crowd.union(more_crowd).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    crowd = stored(crowd, "crowd")
+    sets = stored(sets_of_nodes(docs, crowd, id_col, text_col), "sets")
+    crossing = stored(crossing_pairs(prefixes(sets, shingle_counts(sets)).join(crowd, "node")), "pairs")
+    roots = components(rooted().union(stored(confirm(crossing, sets), "links")))
+    release(spark)
     named = classes.select("set_key", "node").join(roots, "node", "left").select(
         "set_key", F.coalesce("root", "node").alias("root")
     )
