@@ -4,7 +4,7 @@ import random
 
 from test_operators import _components, _sets
 
-from labelloom.llm import neardup
+from labelloom.llm import neardup, pii
 
 
 def _crowd(n, template, own, shared, seed):
@@ -24,3 +24,34 @@ def test_crowds_hide_no_link(spark):
     want = _components(range(len(texts)), _sets(texts))
     assert sum(k != v for k, v in want.items()) == 400
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_groups(frame).collect()} == want
+
+
+def _card(rng):
+    digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+
+def test_other_notations_are_added(spark):
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    ip = lambda sep, top: sep.join([*[str(rng.randrange(10, 250)) for _ in range(3)], str(top)])
+    texts = []
+    for _ in range(400):
+        c = _card(rng)
+        texts += [
+            f"write to {name()}@{name()}.com or call +1 {number(3)} {number(3)} {number(4)} now",
+            f"host {ip('.', rng.randrange(9, 250))} paid by card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]}",
+            f"we met at {name()}. Then {name()} left on {number(4)}-{number(2)}-{number(2)}",
+            f"version {ip('.', 999)} part {number(4)}.{number(4)}.{number(4)}.{number(3)}",
+            # what the corpus holds of the other notations says nothing against them
+            f"write to {name()} (at) {name()} (dot) com or call {number(3)} {number(3)} {number(4)}",
+            f"host {ip(':', rng.randrange(9, 250))} paid by card {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}",
+        ]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    wanted = ([0, 3], [1, 2])
+    for at, kinds in zip((4, 5), wanted, strict=True):
+        added = [[s[1] for s in pii.find(t, model)[1]] for t in texts[at::6]]
+        assert sum(k == kinds for k in added) > 0.9 * len(added), added[:5]
+    prose = [pii.find(t, model)[1] for t in texts[2::6]]
+    assert sum(map(bool, prose)) < 0.05 * len(prose)
