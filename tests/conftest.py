@@ -30,7 +30,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def plan_text(df):
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 """Answer parsing, target repair and scoring."""
 
 import pytest
-from conftest import plan_text
+from plans import plan_text
 
 from labelloom.functions.responses import parse_responses, repair_targets, safe_answers
 from labelloom.functions.scenes import OBJECTS_TYPE

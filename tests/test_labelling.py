@@ -1,7 +1,7 @@
 """Rule labels, prompts and row checks on hand-made requests."""
 
 import pytest
-from conftest import plan_text
+from plans import plan_text
 
 from labelloom.functions import constants as C
 from labelloom.functions.scenes import OBJECTS_TYPE
