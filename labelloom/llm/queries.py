@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import ann, chat, exact, langmodel, neardup, packing, pii, suffixes, toxicity, wordbpe
+from labelloom.llm import ann, chat, exact, langmodel, lines, neardup, packing, pii, suffixes, toxicity, wordbpe
 from labelloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,16 @@ def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_frequent_lines(docs).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup,
     "op2_lm_scoring": lm_scores,
@@ -79,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_exact_dedup": exact_dedup,
     "op10_ann": ann_search,
+    "op12_line_dedup": line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +118,23 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_line_dedup": """
+        WITH s AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+          FROM documents
+        ),
+        k AS (
+          SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM s
+        ),
+        f AS (
+          SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40
+          GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ),
+        j AS (SELECT k.*, last_id IS NOT NULL AND doc_id <> last_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id
+    """,
 }
