@@ -39,10 +39,11 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, text_hash, place in the text from 0, and hash of the key of each long line."""
-    lines = F.posexplode(F.split(_whole(_name(text_col)), "\n")).alias("place", "line")
     key = F.trim(F.col("line"), F.lit(WHITE))
+    # a projection of its own below the explode, or the text would be hashed again for each line
+    texts = docs.select(*_identity(id_col, text_col), F.split(_whole(_name(text_col)), "\n").alias("lines"))
     return (
-        docs.select(*_identity(id_col, text_col), lines)
+        texts.select("id", "text_hash", F.posexplode("lines").alias("place", "line"))
         .withColumn("key", key)
         .filter(F.length("key") >= min_chars)
         .select("id", "text_hash", "place", F.unhex(F.md5(F.translate("key", *LETTERS))).alias("hash"))
