@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import ann, chat, exact, langmodel, lines, neardup, packing, pii, suffixes, toxicity, wordbpe
+from labelloom.llm import ann, chat, clusters, exact, langmodel, lines, neardup, packing, pii, suffixes, toxicity, wordbpe
 from labelloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,14 @@ def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    shown = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return near.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(shown, 256).alias("centroid_sha256")
+    )
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.without_frequent_lines(docs).select(
@@ -78,6 +86,44 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cluster_sql() -> str:
+    """Rounds of nearest centroids and exact means over (vector, place, whole component) rows."""
+    steps = [
+        """r AS (
+          SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        "v AS MATERIALIZED (SELECT rid, unnest(range(64)) AS p, floor(256 * unnest(e))::BIGINT AS x FROM r)",
+        """s AS (
+          SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS no FROM r QUALIFY no < 40
+        )""",
+        "c0 AS MATERIALIZED (SELECT no, p, x FROM s JOIN v USING (rid))",
+    ]
+    for n in range(clusters.ROUNDS + 1):
+        steps.append(
+            f"""d{n} AS (
+              SELECT rid, no, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{n} c USING (p) GROUP BY rid, no
+            ),
+            a{n} AS MATERIALIZED (
+              SELECT rid, m.no AS no, m.d AS d
+              FROM (SELECT rid, min(struct_pack(d := d, no := no)) AS m FROM d{n} GROUP BY rid)
+            )"""
+        )
+        if n < clusters.ROUNDS:
+            steps.append(
+                f"""m{n} AS (SELECT no, p, sum(x) AS s, count(*) AS n FROM a{n} JOIN v USING (rid) GROUP BY no, p),
+                c{n + 1} AS MATERIALIZED (
+                  SELECT no, p, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{n} LEFT JOIN m{n} USING (no, p)
+                )"""
+            )
+    last = clusters.ROUNDS
+    return f"""WITH {", ".join(steps)},
+        h AS (SELECT no, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{last} GROUP BY no)
+        SELECT vec_id, no::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY no)::BIGINT AS cluster_inertia,
+               sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+        FROM a{last} JOIN r USING (rid) JOIN h USING (no)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup,
     "op2_lm_scoring": lm_scores,
@@ -89,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_exact_dedup": exact_dedup,
     "op10_ann": ann_search,
+    "op11_centroid_clusters": centroid_clusters,
     "op12_line_dedup": line_dedup,
 }
 
@@ -118,6 +165,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_centroid_clusters": _cluster_sql(),
     "op12_line_dedup": """
         WITH s AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
