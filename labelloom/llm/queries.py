@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import ann, chat, clusters, exact, langmodel, lines, neardup, packing, pii, suffixes, toxicity, wordbpe
+from labelloom.llm import ann, chat, clusters, exact, langmodel, lines, neardup, packing, pii, repair, suffixes, toxicity, wordbpe
 from labelloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -86,6 +86,49 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults set by a checksum of id and turn."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *named).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return (
+        rows.withColumn("kind", kind)
+        .filter("kind <> 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("kind") == 4, "user").otherwise(role).alias("role"),
+            F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+            F.explode(times).alias("time"),
+        )
+        .drop("time")
+    )
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def repaired_digests(rows: DataFrame) -> DataFrame:
+    report, repaired = repair.repair_conversations(damaged(rows))
+    sha = repair.digests(repaired)
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    counts = [F.when(F.col("r.audit").isNull(), 0).otherwise(F.col(f"r.{c}")).alias(c) for c in names]
+    same = lambda side: F.col("c.conv_id").eqNullSafe(F.col(f"{side}.conv_id"))
+    return (
+        rows.select("conv_id").distinct().alias("c")
+        .join(report.alias("r"), same("r"), "left")
+        .join(sha.alias("s"), same("s"), "left")
+        .select(
+            "c.conv_id",
+            *counts,
+            F.coalesce("r.audit", F.lit("")).alias("audit"),
+            F.coalesce("s.sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 def _cluster_sql() -> str:
     """Rounds of nearest centroids and exact means over (vector, place, whole component) rows."""
     steps = [
@@ -137,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": ann_search,
     "op11_centroid_clusters": centroid_clusters,
     "op12_line_dedup": line_dedup,
+    "op13_conversation_repair": conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -166,6 +210,87 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op11_centroid_clusters": _cluster_sql(),
+    "op13_conversation_repair": """
+        WITH RECURSIVE keyed AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+          FROM conversations
+        ),
+        sums AS (
+          SELECT *, xor(list_reduce(
+                   list_concat([4294967295], list_transform(range(8 * length(key)),
+                     lambda b: (ascii(substr(key, b // 8 + 1, 1)) >> (b % 8)::INT) & 1)),
+                   lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS kind
+          FROM keyed
+        ),
+        damaged AS (
+          SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+          FROM sums WHERE kind <> 0
+        ),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, time) AS i,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, time) AS copy,
+                 rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS visible,
+                 lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, time) || role[1:1] AS pair
+          FROM damaged
+        ),
+        marked AS (
+          SELECT *, CASE WHEN visible = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate'
+                         WHEN visible[-1:] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+          FROM placed
+        ),
+        facts AS (
+          SELECT conv_id, count(*) AS n,
+                 coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+                 count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM marked GROUP BY conv_id
+        ),
+        -- 0 nothing yet, 1 a system turn, 2 an open user turn, 3 whole pairs
+        fills(was, now, price, letters, lines) AS (
+          VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+                 (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+                 (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+                 (3, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:'])
+        ),
+        edits(letter, initial, was, now, new_role) AS (
+          VALUES ('D', NULL, 0, 0, NULL), ('D', NULL, 1, 1, NULL), ('D', NULL, 2, 2, NULL), ('D', NULL, 3, 3, NULL),
+                 ('K', 's', 0, 1, NULL), ('K', 'u', 0, 2, NULL), ('K', 'u', 1, 2, NULL), ('K', 'u', 3, 2, NULL), ('K', 'a', 2, 3, NULL),
+                 ('R', NULL, 0, 2, 'user'), ('R', NULL, 1, 2, 'user'), ('R', NULL, 3, 2, 'user'), ('R', NULL, 2, 3, 'assistant')
+        ),
+        best AS (
+          SELECT conv_id, 0::BIGINT AS i, 0 AS state, struct_pack(cost := 0::BIGINT, audit := '', made := []::VARCHAR[]) AS b FROM facts
+          UNION ALL
+          SELECT p.conv_id, p.i + 1, e.now,
+                 min(struct_pack(
+                   cost := p.b.cost + f.price + CASE e.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+                           + CASE WHEN m.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END,
+                   audit := p.b.audit || f.letters || e.letter,
+                   made := list_concat(p.b.made, f.lines, CASE WHEN e.letter = 'D' THEN []
+                                                               ELSE [coalesce(e.new_role, m.role) || ':' || m.text] END)))
+          FROM best p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1
+          JOIN fills f ON f.was = p.state
+          JOIN edits e ON e.was = f.now AND (e.initial IS NULL OR e.initial = m.role[1:1])
+                      AND (e.letter = 'D' OR m.fault IS NULL OR m.fault = 'truncated')
+          GROUP BY p.conv_id, p.i, e.now
+        ),
+        ended AS (
+          SELECT p.conv_id, min(struct_pack(cost := p.b.cost + f.price, audit := p.b.audit || f.letters,
+                                            made := list_concat(p.b.made, f.lines))) AS b
+          FROM best p JOIN facts n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i
+          JOIN fills f ON f.was = p.state AND f.now IN (0, 3)
+          GROUP BY p.conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit,
+               sha256(coalesce(array_to_string(b.made, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN facts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
     "op12_line_dedup": """
         WITH s AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
