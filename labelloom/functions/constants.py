@@ -92,6 +92,9 @@ RUN_STATUSES = [
 ]
 JOB_STATES = ["pending", "running", "done", "failed"]
 TERMINAL_STATES = ["done", "failed"]
+# Seconds without a beat after which a worker is lost, by stage.
+STAGE_TIMEOUTS = {"training": 600}
+OTHER_TIMEOUT = 120
 STAGE_NAMES = ["Generate", "Train", "Evaluate", "Export"]
 STAGE_OF_STATUS = {"generating": 0, "training": 1, "evaluating": 2, "exporting": 3}
 

@@ -35,7 +35,7 @@ SELECT count(*)::BIGINT AS rows, {_DIGEST.format("prompt||completion")} AS diges
 def jsonl_strict(spark, sf):
     path = work_path(spark, "strict")
     jsonl.write_examples(V.examples(spark, sf), path)
-    rows = jsonl.strict_examples(jsonl.number_lines(jsonl.read_lines(spark, path)))
+    rows = jsonl.strict_examples(jsonl.read_numbered_lines(spark, path))
     return rows.agg(F.count("*").alias("rows"), _text_digest("prompt", "completion").alias("digest"))
 
 
@@ -103,7 +103,7 @@ def line_numbers(spark, sf):
     rows = V.example_lines(spark, sf).select("request_id", file_no, "value")
     ordered = rows.repartition("file_no").sortWithinPartitions("file_no", "request_id")
     ordered.select("file_no", "value").write.partitionBy("file_no").text(path)
-    numbered = jsonl.number_lines(jsonl.read_lines(spark, f"{path}/*"))
+    numbered = jsonl.read_numbered_lines(spark, path)
     return numbered.select(
         F.regexp_extract("path", r"file_no=(\d+)", 1).cast("bigint").alias("file_no"),
         "line_no",

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from labelloom.functions.jsontext import parse_objects, text_field
 from labelloom.functions.text import stripped
 from labelloom.operators.lookup import join_lookup
+from labelloom.sources.bytelines import RANGE_BYTES, read_byte_lines
 from labelloom.sources.session import work_path
 
 # One short row per file split; past this number the lines are shuffled instead.
@@ -35,8 +36,25 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, line_sep
     )
 
 
+def read_numbered_lines(spark: SparkSession, path: str, glob: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, line_no (from 1 in each file) and value of all lines below a folder.
+
+    Lines are counted per fixed byte range of a file; the running sum of earlier ranges, one
+    row each, goes back to the lines as a lookup. Files are read twice and nothing is copied;
+    a line of a range that was not counted, because its file grew meanwhile, stops the job.
+    """
+    lines = read_byte_lines(spark, path, glob, range_bytes)
+    ranges = lines.groupBy("path", "range_start").agg(F.count(F.lit(1)).alias("held"))
+    earlier = W.partitionBy("path").orderBy("range_start").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("path", "range_start", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    unknown = F.raise_error(F.concat(F.col("path"), F.lit(": a line of an unknown range"))).cast("bigint")
+    placed = join_lookup(lines, starts, ["path", "range_start"], "left", max_rows=MAX_SPLITS)
+    line_no = F.coalesce(F.col("before"), unknown) + F.col("place") + 1
+    return placed.select("path", line_no.alias("line_no"), "value")
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Add line_no, counted from 1 in each file, without a global or per-file window.
+    """Add line_no, counted from 1 in each file, to lines of ``read_lines`` and its options.
 
     The lines are stored once and both the sizes of splits and the rows come from that
     copy, so a split plan that changes between two scans can't lose any; a line whose split

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.jsontext import parse_objects
-from labelloom.sources.jsonl import number_lines, read_lines
+from labelloom.sources.jsonl import read_numbered_lines
 
 
 def run_of(path: Column) -> Column:
@@ -22,9 +22,9 @@ def read_run_texts(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     return texts.select(run_of(F.col("_metadata.file_path")).alias("run_id"), F.col("value").alias("body"))
 
 
-def read_run_logs(spark: SparkSession, root: str, file_name: str, line_sep: str | None = None) -> DataFrame:
+def read_run_logs(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Columns run_id, line_no and line from one log file per run folder."""
-    lines = number_lines(read_lines(spark, f"{root}/*", glob=file_name, line_sep=line_sep))
+    lines = read_numbered_lines(spark, root, glob=file_name)
     return lines.select(run_of(F.col("path")).alias("run_id"), "line_no", F.col("value").alias("line"))
 
 
