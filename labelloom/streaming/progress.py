@@ -29,18 +29,60 @@ def read_snapshot_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SNAPSHOT_FILE_SCHEMA).json(folder)
 
 
+def land_snapshots(spark: SparkSession, folder: str, landed: str, state: str, archive: str | None = None) -> None:
+    """Move snapshot files that are there now to ``landed``: whole rows to good/, torn texts to torn/.
+
+    A line that is no JSON object with a run and a time is torn; it is kept with its path. A
+    micro-batch that is repeated writes its folders again, so nothing is doubled. ``archive``
+    is where Spark then puts files that have been read.
+    """
+    reader = spark.readStream
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    lines = reader.text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    row = F.from_json("value", SNAPSHOT_FILE_SCHEMA)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        parsed = batch.withColumn("row", row)
+        whole = F.col("row.run_id").isNotNull() & F.col("row.ts").isNotNull()
+        parsed.filter(whole).select("row.*").write.mode("overwrite").parquet(f"{landed}/good/batch={batch_id}")
+        parsed.filter(F.trim("value") != "").filter(~whole | whole.isNull()).select("path", "value").write.mode(
+            "overwrite"
+        ).parquet(f"{landed}/torn/batch={batch_id}")
+
+    drain(lines.writeStream.foreachBatch(split).option("checkpointLocation", state))
+
+
+def read_landed(spark: SparkSession, landed: str) -> DataFrame:
+    """Stream of the whole snapshots in a landing folder."""
+    return spark.readStream.schema(SNAPSHOT_FILE_SCHEMA).parquet(f"{landed}/good/*")
+
+
+def read_torn(spark: SparkSession, landed: str) -> DataFrame:
+    return spark.read.schema("path string, value string").parquet(f"{landed}/torn/*")
+
+
 def drain(writer: DataStreamWriter) -> None:
     """Run a stream over everything that is there now, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+class Sink:
+    """A parquet table in the shared folder that a stream is drained into, again after each delivery."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.out, self.state = work_path(spark, f"{name}-rows"), work_path(spark, f"{name}-state")
+
+    def drain(self, stream: DataFrame, mode: str = "append") -> DataFrame:
+        """Take all that is there now, from where the last drain ended, and read the table."""
+        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", self.out)
+        drain(writer.option("checkpointLocation", self.state))
+        return stream.sparkSession.read.schema(stream.schema).parquet(self.out)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a stream into a parquet table in the shared folder and read it."""
-    spark = stream.sparkSession
-    out = work_path(spark, f"{name}-rows")
-    writer = stream.writeStream.outputMode(mode).format("parquet")
-    drain(writer.option("path", out).option("checkpointLocation", work_path(spark, f"{name}-state")))
-    return spark.read.schema(stream.schema).parquet(out)
+    return Sink(stream.sparkSession, name).drain(stream, mode)
 
 
 def progress_stream(snapshots: DataFrame, source: str = "notebook", once: bool = False) -> DataFrame:
@@ -74,15 +116,20 @@ def latest_progress_log(snapshots: DataFrame, name: str) -> DataFrame:
     """Change log of the newest progress per run; read it with ``current_progress``.
 
     Remote snapshots count only above zero, local ones always. An older snapshot that
-    arrives late never replaces a newer one.
+    arrives late never replaces a newer one. One row per run stays for ever; see
+    ``stateful.newest_progress`` for state that silent runs lose.
     """
-    rows = normalise_progress(snapshots, source="host").filter(F.col("is_local") | (F.col("fraction") > 0))
-    newest = rows.groupBy("run_id").agg(
+    newest = shown_progress(snapshots).groupBy("run_id").agg(
         F.max_by(F.struct("ts", "event_id", "fraction", "detail"), F.struct("ts", "event_id")).alias("p")
     )
     return update_log(newest.select("run_id", "p.ts", "p.event_id", "p.fraction", "p.detail"), name)
 
 
+def shown_progress(snapshots: DataFrame) -> DataFrame:
+    """Normalised snapshots that a run's owner sees: remote ones only above zero, local ones always."""
+    return normalise_progress(snapshots, source="host").filter(F.col("is_local") | (F.col("fraction") > 0))
+
+
 def current_progress(log: DataFrame) -> DataFrame:
     best = log.groupBy("run_id").agg(
         F.max_by(F.struct("ts", "fraction", "detail"), F.struct("ts", "event_id")).alias("p")

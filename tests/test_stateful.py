@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from labelloom.sources.session import work_path
+from labelloom.streaming import progress as S
 from labelloom.streaming import stateful
 
 T0 = datetime(2024, 1, 1)
@@ -112,3 +113,22 @@ def test_watermark_sees_rows_that_are_filtered(spark, folder):
     put(folder, "1", [beat(1, 10, 1, "done"), beat(2, 5000, 2, "running")])
     rows, _ = drained(spark, folder, stateful.first_ends)
     assert [r.run_id for r in rows] == [1]
+
+
+def test_torn_snapshots_are_kept_aside_and_whole_ones_counted_once(spark, folder, tmp_path):
+    landed, archive = str(tmp_path / "landed"), str(tmp_path / "archive")
+    state, sink = work_path(spark, "land"), S.Sink(spark, "snaps")
+    snap = lambda run, second, event: {
+        "run_id": run, "ts": (T0 + timedelta(seconds=second)).isoformat(), "event_id": event, "body": '{"fraction": 0.5, "detail": "x"}'
+    }
+    put(folder, "1.json", [snap(1, 0, 1), snap(2, 5, 2)])
+    with open(os.path.join(folder, "2.json"), "w") as f:
+        f.write('{"run_id": 3, "ts": "2024-01-0')
+    S.land_snapshots(spark, folder, landed, state, archive)
+    assert sink.drain(S.progress_stream(S.read_landed(spark, landed), once=True)).count() == 2
+    assert [r["value"] for r in S.read_torn(spark, landed).collect()] == ['{"run_id": 3, "ts": "2024-01-0']
+    put(folder, "3.json", [snap(1, 0, 1), snap(1, 30, 3)])  # one is sent again
+    S.land_snapshots(spark, folder, landed, state, archive)
+    got = sink.drain(S.progress_stream(S.read_landed(spark, landed), once=True))
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3]
+    assert S.read_torn(spark, landed).count() == 1
