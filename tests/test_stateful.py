@@ -124,6 +124,7 @@ def test_torn_snapshots_are_kept_aside_and_whole_ones_counted_once(spark, folder
     put(folder, "1.json", [snap(1, 0, 1), snap(2, 5, 2)])
     with open(os.path.join(folder, "2.json"), "w") as f:
         f.write('{"run_id": 3, "ts": "2024-01-0')
+    os.utime(os.path.join(folder, "2.json"), (1002, 1002))
     S.land_snapshots(spark, folder, landed, state, archive)
     assert sink.drain(S.progress_stream(S.read_landed(spark, landed), once=True)).count() == 2
     assert [r["value"] for r in S.read_torn(spark, landed).collect()] == ['{"run_id": 3, "ts": "2024-01-0']
