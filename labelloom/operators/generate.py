@@ -13,6 +13,7 @@ from labelloom.functions import constants as C
 from labelloom.functions import rand, scenes
 from labelloom.functions.text import rounded_sql
 from labelloom.operators.labelling import label_requests, render_examples
+from labelloom.operators.numbering import numbered
 from labelloom.operators.quality import (
     balance_gate,
     balance_of,
@@ -42,6 +43,16 @@ def stratify(ids: DataFrame, key: str = KEY) -> DataFrame:
     return ids.withColumn("dominant", F.expr(f"element_at({names}, cast(pmod({key}, 5) as int) + 1)"))
 
 
+def stratify_exactly(ids: DataFrame, key: str = KEY) -> DataFrame:
+    """Add the dominant stat by the id's place among all ids: n/5 rows per stat, the rest to the first stats.
+
+    Ids may have holes; a repeated id takes a place for each of its rows.
+    """
+    names = scenes.string_array(C.LABEL_STATS)
+    placed = numbered(ids, key, name="_place")
+    return placed.withColumn("dominant", F.expr(f"element_at({names}, cast(_place % 5 as int) + 1)")).drop("_place")
+
+
 def add_stats(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
     """Stats with one high value; some rows get a second, lower high value."""
     u = lambda tag: rand.unit(seed, key, f"'{tag}'")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import constants as C
 from labelloom.functions.text import fixed
-from labelloom.operators import generate
+from labelloom.operators import generate, numbering
 from labelloom.plans import oracle as O
 from labelloom.plans import oracle_made  # noqa: F401
 from labelloom.plans import views as V
@@ -34,6 +34,27 @@ def stratify(spark, sf):
     return generate.stratify(_ids(spark, sf))
 
 
+@query("stratify_exactly", f"""
+SELECT id AS request_id, {oracle_made.STATS}[((row_number() OVER (ORDER BY id) - 1) % 5)+1] AS dominant
+FROM (SELECT o_orderkey * 5 + 2 AS id FROM orders)""")
+def stratify_exactly(spark, sf):
+    """Ids with holes, all alike modulo the number of stats."""
+    return generate.stratify_exactly(_ids(spark, sf).select((F.col("request_id") * 5 + 2).alias("request_id")))
+
+
+@query("zip_rows", """
+SELECT a.place, prompt, completion FROM
+  (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, text AS prompt FROM conversations WHERE role = 'user') a
+  JOIN (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, text AS completion FROM conversations WHERE role = 'assistant') b
+  USING (place)""")
+def zip_rows(spark, sf):
+    """All user texts beside all assistant texts, by position."""
+    turns = V.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    sides = [turns.filter(F.col("role") == r) for r in ("user", "assistant")]
+    pairs = numbering.zip_rows(sides[0], ["conv_id", "turn"], sides[1], ["conv_id", "turn"])
+    return pairs.select("place", F.col("left.text").alias("prompt"), F.col("right.text").alias("completion"))
+
+
 @query("gen_stats", O.sql(["gen_requests"], f"SELECT request_id, dominant, second, {_STATS} FROM gen_requests"))
 def gen_stats(spark, sf):
     rows = generate.add_stats(generate.stratify(_ids(spark, sf)))

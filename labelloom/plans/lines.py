@@ -224,11 +224,27 @@ def _copies_sql(u: str, rate: str) -> str:
 @query("weighted_resample", f"""
 WITH w AS (SELECT doc_id, quality||'_'||toxic AS class FROM labels),
 c AS (SELECT class, count(*) AS n FROM w GROUP BY 1),
+r AS (SELECT doc_id, class, floor((SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c)::DOUBLE * n) * 1e12 + 0.5)::BIGINT AS units
+      FROM w JOIN c USING (class)),
+l AS (SELECT *, coalesce(sum(units) OVER (ORDER BY md5(doc_id::VARCHAR), class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r),
+p AS (SELECT (('0x'||substr(md5('42:'||j||':draw'),1,12))::HUGEINT * (SELECT sum(units) FROM r)::HUGEINT // 281474976710656)::BIGINT AS at
+      FROM range((SELECT count(*) FROM w)) t(j))
+SELECT l.doc_id, l.class, count(*)::BIGINT AS copies FROM p ASOF JOIN l ON p.at >= l.start GROUP BY 1, 2""")
+def weighted_resample(spark, sf):
+    """As many draws as there are labels; each class is as likely as any other."""
+    rows = quality.class_weights(_label_class(spark, sf), "class")
+    drawn = resample.resample_exactly(rows, 42, "doc_id")
+    return drawn.groupBy("doc_id", "class").agg(F.count("*").alias("copies"))
+
+
+@query("poisson_resample", f"""
+WITH w AS (SELECT doc_id, quality||'_'||toxic AS class FROM labels),
+c AS (SELECT class, count(*) AS n FROM w GROUP BY 1),
 r AS (SELECT doc_id, class, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c)::DOUBLE * n) AS weight FROM w JOIN c USING (class)),
 p AS (SELECT doc_id, class, p AS piece, least(1.0, weight - (p - 1)) AS rate FROM r, unnest(range(1, ceil(weight)::BIGINT + 1)) t(p)),
 k AS (SELECT doc_id, class, {_copies_sql(O.draw(42, "doc_id", "'copies-'||piece"), "rate")} AS n FROM p)
 SELECT doc_id, class, sum(n)::BIGINT AS copies FROM k GROUP BY 1, 2 HAVING sum(n) > 0""")
-def weighted_resample(spark, sf):
+def poisson_resample(spark, sf):
     rows = quality.class_weights(_label_class(spark, sf), "class")
     drawn = resample.weighted_resample(rows, 42, "doc_id")
     return drawn.groupBy("doc_id", "class").agg(F.count("*").alias("copies"))
