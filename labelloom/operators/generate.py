@@ -14,14 +14,8 @@ from labelloom.functions import rand, scenes
 from labelloom.functions.text import rounded_sql
 from labelloom.operators.labelling import label_requests, render_examples
 from labelloom.operators.numbering import numbered
-from labelloom.operators.quality import (
-    balance_gate,
-    balance_of,
-    with_class,
-    with_validity,
-)
+from labelloom.operators.quality import balance_of, with_class, with_validity
 from labelloom.sources.jsonl import mark_lines, read_lines, write_examples
-from labelloom.sources.session import settled
 
 KEY = "request_id"
 MIX_TAG = "concat('mix-', o.id)"
@@ -111,7 +105,9 @@ def add_scene(df: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> D
 
 
 def make_requests(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
-    return add_scene(add_stats(stratify(ids, key), seed, key), seed, key)
+    """Requests of row ids; a ``dominant`` stat that comes with the ids is taken."""
+    asked = ids if "dominant" in ids.columns else stratify(ids, key)
+    return add_scene(add_stats(asked, seed, key), seed, key)
 
 
 def make_examples(ids: DataFrame, seed: int | str = C.DATA_SEED, key: str = KEY) -> DataFrame:
@@ -139,13 +135,15 @@ def generate_dataset(
     """Make, write, read back and judge each split; one verdict row per split.
 
     ``splits`` maps a name to a table of row ids. Each split salts the draws, and is
-    written as JSONL under ``out_dir/<name>``. What was written is what is checked.
+    written as JSONL under ``out_dir/<name>``. Stats are dealt by the places of the ids, so
+    each drives n/5 examples, the rest the first ones, whatever holes the ids have. What was written is what is checked.
     """
     verdicts: DataFrame | None = None
     for name, ids in splits.items():
         salt = f"{seed}-{name}"
         target = f"{out_dir.rstrip('/')}/{name}"
-        write_examples(make_examples(in_mixed_order(ids.select(key), salt, key, tasks), salt, key), target)
+        asked = in_mixed_order(stratify_exactly(ids.select(key), key), salt, key, tasks)
+        write_examples(make_examples(asked, salt, key), target)
         row = judge_examples(ids.sparkSession, target).select(F.lit(name).alias("split"), "*")
         verdicts = row if verdicts is None else verdicts.unionByName(row)
     if verdicts is None:
@@ -160,18 +158,19 @@ def judge_examples(spark: SparkSession, path: str) -> DataFrame:
     counts per class.
     """
     rows = with_validity(with_class(mark_lines(read_lines(spark, path))))
-    cells = settled(
-        rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("valid").alias("ok"))
+    counts = rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("valid").alias("ok"))
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    judged = balance_of(counts).agg(
+        sum_of("n").alias("total"),
+        sum_of("ok").alias("valid"),
+        F.count("class").alias("classes"),
+        F.count_if(F.col("flag") == "UNDER").alias("under"),
+        F.count_if(F.col("flag") == "OVER").alias("over"),
     )
-    counts = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("ok"), F.lit(0)).alias("valid")
-    )
-    balance = balance_gate(balance_of(cells.filter(F.col("class").isNotNull()).select("class", "n")))
-    both = counts.withColumn("_one", F.lit(1)).join(balance.withColumn("_one", F.lit(1)), "_one")
     invalid = F.col("total") - F.col("valid")
-    return both.select(
-        "total", "valid", invalid.alias("invalid"), "classes", "under", "over",
-        ((invalid == 0) & F.col("passed")).alias("passed"),
+    even = F.col("under") + F.col("over") == 0
+    return judged.select(
+        "total", "valid", invalid.alias("invalid"), "classes", "under", "over", ((invalid == 0) & even).alias("passed")
     )
 
 

@@ -6,7 +6,7 @@ map-side reduced aggregate; nothing gathers the rows of a class.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelloom.functions import constants as C
@@ -69,17 +69,18 @@ def balance_of(
     high: float = C.MAX_CLASS_SHARE,
     min_rows: int = C.MIN_BALANCE_ROWS,
 ) -> DataFrame:
-    """The same from a table of class and n."""
-    total = F.coalesce(counts.agg(F.sum("n").alias("t")).scalar(), F.lit(0))
+    """The same from a small table of class and n, which is stored first; a row without a class has no share in the total."""
+    kept = settled(counts)
+    total = kept.filter(F.col("class").isNotNull()).agg(F.sum("n").alias("t")).first()["t"] or 0
     share = F.col("share")
     flag = (
-        F.when(F.col("total") < min_rows, "")
+        F.when((F.col("total") < min_rows) | F.col("class").isNull(), "")
         .when(share < low, "UNDER")
         .when(share > high, "OVER")
         .otherwise("")
     )
     return (
-        counts.withColumn("total", total)
+        kept.withColumn("total", F.lit(total).cast("bigint"))
         .withColumn("share", ratio(F.col("n"), F.col("total")))
         .withColumn("flag", flag)
     )
@@ -149,21 +150,28 @@ def validity_counts(checked: DataFrame) -> DataFrame:
 def first_errors(checked: DataFrame, order: str, k: int = 10) -> DataFrame:
     """The first k invalid rows with the number of further ones on each row.
 
-    Sorting invalid rows first keeps the costly check out of a filter, where it
-    would be computed a second time.
+    One pass checks each row once: while tasks keep their first rows, Spark counts the
+    invalid ones on the way. Sorting invalid rows first keeps the costly check out of a
+    filter, where it would be computed a second time.
     """
-    bad = checked.agg(F.count_if(~F.col("valid")).alias("n")).scalar()
-    first = checked.orderBy("valid", order).limit(k).filter(~F.col("valid"))
-    return first.withColumn("more", F.greatest(bad - k, F.lit(0)))
+    seen = Observation()
+    counted = checked.observe(seen, F.count_if(~F.col("valid")).alias("bad"))
+    first = settled(counted.orderBy("valid", order).limit(k))
+    more = max(seen.get["bad"] - k, 0)
+    return first.filter(~F.col("valid")).withColumn("more", F.lit(more).cast("bigint"))
 
 
 # -- answers -----------------------------------------------------------------
 
 
-def valid_rate(statuses: DataFrame, status: str = "status", threshold: float = C.VALID_RATE_PASS) -> DataFrame:
-    """One row: total, valid, valid_pct, passed (inclusive; no rows fail)."""
+def valid_rate(
+    statuses: DataFrame, status: str = "status", threshold: float = C.VALID_RATE_PASS, held: Column | None = None
+) -> DataFrame:
+    """One row: total, valid, valid_pct, passed (inclusive; no rows fail). ``held`` counts rows of each input row."""
+    n = F.lit(1).cast("bigint") if held is None else held
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
     counts = statuses.agg(
-        F.count("*").alias("total"), F.count_if(is_ok(F.col(status))).alias("valid")
+        sum_of(n).alias("total"), sum_of(F.when(is_ok(F.col(status)), n).otherwise(0)).alias("valid")
     )
     pct = ratio(F.col("valid"), F.col("total"))
     return counts.withColumn("valid_pct", pct).withColumn(
@@ -173,8 +181,9 @@ def valid_rate(statuses: DataFrame, status: str = "status", threshold: float = C
 
 def share_table(df: DataFrame, column: str, limit: float = C.MAX_ACTION_SHARE) -> DataFrame:
     """Histogram with share in percent and a DOMINANT flag."""
-    counts = class_counts(df, column)
-    share = ratio(F.col("n"), counts.agg(F.sum("n").alias("t")).scalar())
+    counts = settled(class_counts(df, column))
+    total = counts.agg(F.sum("n").alias("t")).first()["t"]
+    share = ratio(F.col("n"), F.lit(total))
     return counts.select(
         F.col("class").alias(column),
         F.col("n").alias("count"),

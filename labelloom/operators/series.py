@@ -86,45 +86,43 @@ def early_stop(
 ) -> DataFrame:
     """First step per run at which ``patience`` evals in a row brought no new best.
 
-    Entries without a metric are not evals. Three summaries per (run, block) carry
-    what earlier blocks contribute: lowest metric, evals so far, last new best.
+    Entries without a metric are not evals. Rows meet once, per (run, block), where the
+    lowest metric of earlier blocks is known; there a block becomes a small summary: its
+    first stop behind a new best of its own, the place of its last new best, and its first
+    evals before any, of which earlier blocks decide whether they are a stop. Only
+    summaries are folded per run.
     """
     evals = history.filter(F.col(metric).isNotNull()).select(
         key, F.floor(F.col(step) / block_steps).alias("_block"), step, metric
     )
     earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        evals.groupBy(key, "_block")
-        .agg(F.min(metric).alias("_low"), F.count("*").alias("_n"))
-        .select(
-            key,
-            "_block",
-            F.min("_low").over(earlier).alias("_low_before"),
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
-        )
-    )
+    lows = evals.groupBy(key, "_block").agg(F.min(metric).alias("_low"))
+    lows = lows.select(key, "_block", F.min("_low").over(earlier).alias("_low_before"))
     in_block = W.partitionBy(key, "_block").orderBy(step)
     past = in_block.rowsBetween(W.unboundedPreceding, -1)
     so_far = in_block.rowsBetween(W.unboundedPreceding, 0)
     marked = (
-        evals.join(starts, [key, "_block"])
+        evals.join(lows, [key, "_block"])
         .withColumn("_best_before", F.least(F.min(metric).over(past), F.col("_low_before")))
-        .withColumn("_no", F.row_number().over(in_block) + F.col("_n_before"))
+        .withColumn("_no", F.row_number().over(in_block))
         .withColumn("_new", F.col("_best_before").isNull() | (F.col(metric) < F.col("_best_before")))
         .withColumn("_best_no", F.max(F.when(F.col("_new"), F.col("_no"))).over(so_far))
     )
-    carried = (
-        marked.groupBy(key, "_block")
-        .agg(F.max("_best_no").alias("_block_best"))
-        .select(key, "_block", F.max("_block_best").over(earlier).alias("_carried"))
+    leading = F.col("_best_no").isNull() & (F.col("_no") <= patience)
+    blocks = marked.groupBy(key, "_block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("_best_no").alias("_best_no"),
+        F.min(F.when(F.col("_no") - F.col("_best_no") >= patience, F.col(step))).alias("_own_stop"),
+        F.map_from_entries(F.collect_list(F.when(leading, F.struct("_no", step)))).alias("_first_steps"),
     )
-    waited = F.col("_no") - F.coalesce("_best_no", "_carried")
-    return (
-        marked.join(carried, [key, "_block"])
-        .filter(waited >= patience)
-        .groupBy(key)
-        .agg(F.min(step).alias("stop_step"))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    placed = blocks.withColumn("_n_before", before).withColumn(
+        "_carried", F.max(F.col("_n_before") + F.col("_best_no")).over(earlier)
     )
+    # evals that earlier blocks have waited already
+    due = (patience - (F.col("_n_before") - F.col("_carried"))).cast("int")
+    stop = F.least("_own_stop", F.try_element_at("_first_steps", due))
+    return placed.groupBy(key).agg(F.min(stop).alias("stop_step")).filter(F.col("stop_step").isNotNull())
 
 
 def cheapest(offers: DataFrame, group: str, price: str, order: str) -> DataFrame:

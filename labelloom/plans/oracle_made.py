@@ -21,7 +21,7 @@ def made_ctes(prefix: str, seed: object, where: str = "true") -> None:
     per_index = lambda tag: draw(seed, "request_id", f"'{tag}-'||i")
     cte(f"{prefix}ids", [], f"""
 SELECT *, CASE WHEN {u('clash')} < 0.15 THEN list_filter({STATS}, lambda x: x <> dominant)[floor({u('second')}*4)::INT+1] END AS second
-FROM (SELECT o_orderkey, {STATS}[(o_orderkey % 5)+1] AS dominant FROM orders WHERE {where})""")
+FROM (SELECT o_orderkey, {STATS}[((row_number() OVER (ORDER BY o_orderkey) - 1) % 5)+1] AS dominant FROM orders WHERE {where})""")
     stat = []
     for s in C.LABEL_STATS:
         v = u(f"stat-{s}")

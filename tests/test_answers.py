@@ -1,5 +1,7 @@
 """Answer parsing, target repair and scoring."""
 
+import os
+
 import pytest
 from plans import plan_text
 
@@ -119,3 +121,28 @@ def test_strict_answers_stop_at_the_first_bad_one(spark):
     bad = scoring.answer_requests(df, lambda: scoring.one_by_one(lambda p: "oops"), strict=True)
     with pytest.raises(Exception, match="invalid response: oops"):
         bad.collect()
+
+
+def test_a_model_is_loaded_once_per_process(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda prompts: [f"{os.getpid()}" for _ in prompts]
+
+    rows = spark.range(4000).selectExpr("cast(id as string) as prompt").repartition(40)
+    pids = set()
+    for _ in range(2):  # a second job finds the models of the first
+        pids |= {r["raw"] for r in scoring.score_prompts(rows, make).select("raw").distinct().collect()}
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert sorted(loads) == sorted(pids) and len(loads) < 40
+
+
+def test_kept_models_are_few():
+    made = []
+    for token in ("a", "b", "a", "c", "a", "b"):
+        scoring.kept_model(token, lambda token=token: made.append(token) or list)
+    assert made == ["a", "b", "c", "b"] and len(scoring._models) == scoring.MODELS_KEPT
