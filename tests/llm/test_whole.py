@@ -55,3 +55,56 @@ def test_other_notations_are_added(spark):
         assert sum(k == kinds for k in added) > 0.9 * len(added), added[:5]
     prose = [pii.find(t, model)[1] for t in texts[2::6]]
     assert sum(map(bool, prose)) < 0.05 * len(prose)
+
+
+def test_other_numbers_are_left_alone(spark):
+    """Failing cards, parts over 255, dates, book and order numbers; real ones in other notations are still found."""
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def failing_card():
+        digits = "4" + number(15)
+        return digits if not pii.luhn(digits) else failing_card()
+
+    def book():
+        digits = "978" + number(9)
+        return digits + str(-sum(int(c) * (1 + 2 * (i % 2)) for i, c in enumerate(digits)) % 10)
+
+    def grouped(digits, sep):
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+    texts, wrong, right = [], [], []
+    for n in range(500):
+        c, b, f = _card(rng), book(), failing_card()
+        ip = [rng.randrange(1, 250) for _ in range(4)]
+        texts.append(f"write to {word()}@{word()}.com or call +1 {number(3)} {number(3)} {number(4)} now")
+        texts.append(f"host {'.'.join(map(str, ip))} paid by card {grouped(c, ' ')}")
+        bad = [
+            f"paid by card {grouped(f, '.-_/'[n % 4])} today", f"server {ip[0]}:{ip[1]}:{rng.randrange(256, 999)}:{ip[3]} is up",
+            f"call on 20{number(2)}-0{rng.randrange(1, 9)}-1{number(1)} 1{number(1)}00 or later", f"the book {b[:3]}-{b[3]}-{b[4:6]}-{b[6:12]}-{b[12]} by {word()}",
+            f"order {number(4)}.{number(4)}.{number(4)}.{number(4)} of {word()}", f"part {number(3)}-{number(3)}-{number(4)} for {word()}",
+        ]
+        good = [f"paid by card {grouped(c, '._/'[n % 3])} today", f"server {':'.join(map(str, ip))} is up", f"call {number(3)} {number(3)} {number(4)} now",
+                f"write to {word()} (at) {word()} (dot) com now"]
+        texts += bad + good
+        wrong.append(bad)
+        right.append(good)
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for column in range(6):
+        added = [t[column] for t in wrong if pii.find(t[column], model)[1]]
+        assert len(added) < 0.02 * len(wrong), added[:3]
+    for kind, column in enumerate((3, 1, 0, 2)):
+        found = sum([s[1] for s in pii.find(t[column], model)[1]] == [kind] for t in right)
+        assert found > 0.9 * len(right), (kind, found)
+
+
+def test_no_added_span_fails_the_checks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    added = []
+    for r in docs.collect():
+        text = r["text"] or ""
+        base, every = pii.find(text, model)
+        added += [text[a:e] for a, k, e in every if (a, k, e) not in base and pii.refused(text[a:e], k)]
+    assert added == []
