@@ -44,7 +44,7 @@ SEED = 7
 COUNT_BITS = 20
 COUNT_BLOCK = 1 << 14
 
-SETS = "doc_id long, n_shingles long, set_key string, signature binary"
+SETS = "doc_id long, text_hash long, n_shingles long, set_key string, signature binary"
 TREE_ROW = "tree int, key binary, node long, size long"
 PREFIX = "shingle long, node long, size long, left long, tail long"
 
@@ -79,6 +79,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def set_key(values: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None
+
+
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED).integers(0, 1 << 63, (2, n), dtype=np.uint64)
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
@@ -93,20 +97,21 @@ def signature(values: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np
 
 
 def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (null without shingles), signature."""
+    """doc_id, text_hash, n_shingles, set_key (null without shingles), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _functions(HASHES)
         for b in slices(batches):
             sets = shingle_sets(b.column("text").to_pylist())
-            keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+            keys = [set_key(s) for s in sets]
             signs = [signature(s, factors, shifts).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()),
-                 pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(keys, pa.string()), pa.array(signs, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "signature"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SETS)
+    return id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, SETS)
 
 
 def tree_rows(classes: DataFrame, first: int, last: int) -> DataFrame:
@@ -214,25 +219,33 @@ def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inside.union(between).distinct(), crowd.distinct()
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node and its sorted shingles for every document that stands in a pair."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return sets_of_nodes(docs, nodes, id_col, text_col)
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes that stand in a pair."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
 
+def sets_of_nodes(
+    docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """node and its sorted shingles for every class among the distinct nodes.
 
-def sets_of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node and its sorted shingles for every document among the distinct nodes."""
-    wanted = nodes.select(F.col("node").alias("doc_id"))
+    The text is that of a row with the class's smallest id; of the rows with that id those of
+    other sets are passed over, and of rows that are alike one is taken.
+    """
+    wanted = classes.join(nodes.select("node"), "node", "left_semi").select(
+        "node", F.col("least_id").alias("doc_id"), F.col("set_key").alias("wanted")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text").to_pylist())
+            own = [set_key(s) == w for s, w in zip(sets, b.column("wanted").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]
-            )
+                [b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]
+            ).filter(pa.array(own, pa.bool_()))
 
-    rows = id_and_text(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "node long, shingles binary")
+    rows = id_and_text(docs, id_col, text_col).join(wanted, "doc_id").select("node", "text", "wanted")
+    return rows.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,13 +377,8 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
-
-    Null texts are empty; empty sets are linked with nothing and stay. Rows that repeat an
-    id are one node. Rows without an id are linked with nothing and stay, with a null
-    component. Words are maximal runs without ASCII white space, A-Z lowered.
-    """
+def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id for each row."""
     spark = docs.sparkSession
     rows = stored(class_rows(docs, id_col, text_col), "shingle-classes")
     usable = rows.filter("set_key is not null and doc_id is not null")
@@ -378,12 +386,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = F.min(F.struct("doc_id", "n_shingles", "signature"))
     classes = stored(
         usable.groupBy("set_key").agg(least.alias("c")).select(
-            "set_key", F.col("c.doc_id").alias("node"), F.col("c.n_shingles").alias("size"), "c.signature"
+            "set_key", F.col("c.doc_id").alias("least_id"), F.col("c.n_shingles").alias("size"), "c.signature",
+            # a number of its own, fixed by being written: an id may have rows of several sets
+            F.monotonically_increasing_id().alias("node"),
         ), "classes",
     )
+    sets_for = lambda nodes: sets_of_nodes(docs, nodes, classes.drop("signature"), id_col, text_col)
     pairs, crowd = candidates(tree_rows(classes, 0, FIRST_TREES))
     first = stored(pairs, "pairs")
-    links = stored(confirm(first, sets_of(docs, first, id_col, text_col)), "links")
+    links = stored(confirm(first, sets_for(ends_of(first))), "links")
     roots = components(links)
     release(spark)
     rest, more_crowd = candidates(tree_rows(classes, FIRST_TREES, TREES))
@@ -394,7 +405,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     )
     apart = stored(apart, "pairs")
-    more = stored(confirm(apart, sets_of(docs, apart, id_col, text_col)), "links")
+    more = stored(confirm(apart, sets_for(ends_of(apart))), "links")
     release(spark)
     # the first components, as links to their roots, joined by the links that were still missing
     rooted = lambda: roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -402,22 +413,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # rows of crowded regions, exactly
     crowd = crowd.union(more_crowd).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     crowd = stored(crowd, "crowd")
-    sets = stored(sets_of_nodes(docs, crowd, id_col, text_col), "sets")
+    sets = stored(sets_for(crowd), "sets")
     crossing = stored(crossing_pairs(prefixes(sets, shingle_counts(sets)).join(crowd, "node")), "pairs")
     roots = components(rooted().union(stored(confirm(crossing, sets), "links")))
     release(spark)
-    named = classes.select("set_key", "node").join(roots, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("root")
+    rooted_classes = classes.select("set_key", "least_id", "node").join(roots, "node", "left").select(
+        "set_key", "least_id", F.coalesce("root", "node").alias("root")
     )
+    least_of = rooted_classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = rooted_classes.join(least_of, "root").select("set_key", "component_id")
     marked = rows.drop("signature").join(named, "set_key", "left")
     alone = F.col("set_key").isNull() | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
-    return marked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return marked.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row.
+
+    Null texts are empty; empty sets are linked with nothing and stay. Rows that repeat an id
+    each have the component of their own text. Rows without an id are linked with nothing and
+    stay, with a null component. Words are maximal runs without ASCII white space, A-Z lowered.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return row_groups(docs, id_col, text_col).drop("text_hash").withColumn("kept", kept)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; columns of the input."""
-    gone = near_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One document of each group, the one with the smallest id; columns of the input.
+
+    Each row is decided by its own id and text, so of rows that repeat an id only those go
+    whose text has a near copy under a smaller id. Rows that repeat id and text stay or go
+    together. Empty texts and rows without an id stay; an empty table gives an empty one.
+    """
+    groups = row_groups(docs, id_col, text_col).filter("not doc_id <=> component_id")
+    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (text_hash == gone["_gone_text"]), "left_anti")

@@ -108,3 +108,18 @@ def test_no_added_span_fails_the_checks(spark):
         base, every = pii.find(text, model)
         added += [text[a:e] for a, k, e in every if (a, k, e) not in base and pii.refused(text[a:e], k)]
     assert added == []
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """A row goes only if its own text has a near copy under a smaller id."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = a.replace(a.split()[30], "other")
+    rows = [(3, a), (7, a), (7, b), (8, near), (8, c), (9, c), (9, c), (9, b), (2, None), (2, ""), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_copies(frame).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (8, c), (2, None), (2, ""), (None, a)], key=str)
+    groups = {(r["doc_id"], r["component_id"]) for r in neardup.near_groups(frame).collect()}
+    assert groups == {(3, 3), (7, 3), (7, 7), (8, 3), (8, 8), (9, 8), (9, 7), (2, 2), (None, None)}
+    many = spark.createDataFrame([(1, a)] * 3000 + [(5, near)] * 3000, "doc_id long, text string")
+    assert neardup.drop_near_copies(many).count() == 3000
