@@ -154,19 +154,22 @@ def decay_rate(scores: np.ndarray, others: int, drift: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """Model from labelled documents; labels hold the id and ``toxic``. Null ids or labels are left out.
 
-    Without texts of both labels every text gets the share of toxic ones.
+    Without texts of both labels every text gets the share of toxic ones. Labels of one id, or
+    of equal texts, that differ count as toxic. Of the sure words the ``MAX_WEIGHTS`` surest get
+    a weight, so that the model stays small; ``rows`` texts have far fewer. The decay rate is
+    held between 0.2 and 2, beyond which few scores say nothing about it.
     """
-    half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2))
     known = labels.select(id_col, "toxic").filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     # a repeated label counts once, the toxic one of two that differ
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    chosen = least_hashed(known, rows, id_col).withColumn("half", half)
+    chosen = least_hashed(known, rows, id_col)
     # at most FIT_ROWS ids of a few bytes
     texts = id_and_text(docs, id_col, text_col).join(
         F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id"
     )
-    # copies of a text count once
-    texts = texts.dropDuplicates(["text"])
+    # copies of a text count once, and as toxic if any is; the text alone says which half it is in
+    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("text"))
+    texts = texts.withColumn("half", F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)))
     counts = texts.filter("half = 0").select("text", "toxic").mapInArrow(
         _word_counts, "feature string, toxic long, clean long"
     )
@@ -174,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = sure.orderBy(F.desc("z"), "feature").limit(MAX_WEIGHTS).collect()
     model = Model({r["feature"]: float(r["odds"]) for r in best})
     seen = texts.filter("half = 1").mapInArrow(_statistics(model), STATISTICS).toPandas()
+    # sums in one order, so that the same tables give the same model
+    seen = seen.sort_values(["key", "n_words"], ignore_index=True)
     if not len(seen) or seen["toxic"].nunique() < 2:
         share = float(seen["toxic"].mean()) if len(seen) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
@@ -190,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-STATISTICS = "toxic int, n_words long, places array<int>, positive array<double>"
+STATISTICS = "key long, toxic int, n_words long, places array<int>, positive array<double>"
 
 
 def _statistics(model: Model):
@@ -204,8 +209,8 @@ def _statistics(model: Model):
                 positive.append([h[1] for h in hits])
                 sizes.append(len(words))
             yield pa.RecordBatch.from_arrays(
-                [b.column("toxic").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())),
-                 pa.array(positive, pa.list_(pa.float64()))], ["toxic", "n_words", "places", "positive"],
+                [b.column("key"), b.column("toxic").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())),
+                 pa.array(positive, pa.list_(pa.float64()))], ["key", "toxic", "n_words", "places", "positive"],
             )
 
     return run
@@ -253,7 +258,11 @@ def fold(id_col: Column, n: int) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that the model, fitted on the labelled ones, doesn't reject; columns of the input."""
+    """Rows that the model, fitted on the labelled ones, doesn't reject; columns of the input.
+
+    Null texts are empty and get the score of no evidence, so they stay; rows that repeat an id
+    are judged each by its own text; an empty table gives an empty one.
+    """
     model = fit(docs, labels, id_col, text_col)
     schema = docs.schema
 

@@ -4,7 +4,7 @@ import random
 
 from test_operators import _components, _sets
 
-from labelloom.llm import neardup, pii
+from labelloom.llm import neardup, pii, toxicity
 
 
 def _crowd(n, template, own, shared, seed):
@@ -123,3 +123,18 @@ def test_repeated_ids_lose_no_text(spark):
     assert groups == {(3, 3), (7, 3), (7, 7), (8, 3), (8, 8), (9, 8), (9, 7), (2, 2), (None, None)}
     many = spark.createDataFrame([(1, a)] * 3000 + [(5, near)] * 3000, "doc_id long, text string")
     assert neardup.drop_near_copies(many).count() == 3000
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark):
+    """Copies of a text with differing labels, in any order, give one model."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(300)}"
+    texts = [" ".join([*[word() for _ in range(30)], *(["vile", "foul"] * 3 if n % 4 == 0 else [])]) for n in range(300)]
+    docs = [(n, texts[n % 300]) for n in range(900)]
+    labels = [(n, 1, int(n % 4 == 0) if n < 600 else 0) for n in range(900)]
+    models = []
+    for parts in (1, 5):
+        d = spark.createDataFrame(rng.sample(docs, 900), "doc_id long, text string").repartition(parts)
+        t = spark.createDataFrame(rng.sample(labels, 900), "doc_id long, quality int, toxic int").repartition(parts)
+        models.append(toxicity.fit(d, t))
+    assert models[0] == models[1] and "vile" in models[0].weights
