@@ -9,7 +9,7 @@ from labelloom.operators import listing, quality, registry, series
 from labelloom.plans import oracle as O
 from labelloom.plans import views as V
 from labelloom.plans.catalogue import query
-from labelloom.sources import results
+from labelloom.sources import results, store
 from labelloom.sources.session import work_path
 
 NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -72,6 +72,11 @@ def registry_get(spark, sf):
     return registry.get_rows(V.runs(spark, sf), _changes(spark, sf)).select("id", "model_id", "workflow_id", "status")
 
 
+def _stored_runs(spark, sf):
+    """The run snapshot in buckets of its id; only changes are moved to it."""
+    return store.save_snapshot(V.runs(spark, sf), "runs")
+
+
 @query("registry_update", O.sql(["runs", "changes"], """
 SELECT r.id, coalesce(c.seq % 10, r.model_id) AS model_id, coalesce('wf-'||c.seq, r.workflow_id) AS workflow_id, r.status,
        r.created_at, coalesce(c.ts, r.updated_at) AS updated_at
@@ -82,7 +87,7 @@ def registry_update(spark, sf):
         "id", "seq", "ts", (F.col("seq") % 10).alias("model_id"),
         F.concat(F.lit("wf-"), F.col("seq").cast("string")).alias("workflow_id"),
     )
-    out = registry.update_rows(V.runs(spark, sf), changes, ["model_id", "workflow_id"])
+    out = registry.update_rows(_stored_runs(spark, sf), store.aligned(changes), ["model_id", "workflow_id"])
     return out.select("id", "model_id", "workflow_id", "status", "created_at", "updated_at")
 
 
@@ -130,7 +135,7 @@ def registry_patch(spark, sf):
         F.col("props").alias("progress_detail"), (kind == "view").alias("set_progress_detail"),
     )
     out = registry.patch_rows(
-        V.runs(spark, sf), changes, ["status", "eval_valid_pct", "progress", "progress_detail"]
+        _stored_runs(spark, sf), store.aligned(changes), ["status", "eval_valid_pct", "progress", "progress_detail"]
     )
     return out.select("id", "status", "eval_valid_pct", "progress", "progress_detail", "created_at", "updated_at")
 
@@ -276,18 +281,29 @@ def report_texts(spark, sf):
         section("priority_conflict", good), F.lit(","), section("fallback_accuracy", good),
         F.lit(',"action_distribution":{"EAT":'), share, F.lit('},"max_action_share":0.25,"passed":true}'),
     )
-    texts = V.table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING")
-    return texts.select(c.alias("run_id"), F.when(kind == 0, F.lit("{broken")).otherwise(body).alias("body"))
+    text = F.when(kind == 0, F.lit("{broken")).otherwise(body)
+    texts = V.table(spark, sf, "customer")
+    return texts.select(c.alias("run_id"), F.when(F.col("c_mktsegment") != "BUILDING", text).alias("body"))
+
+
+def report_files(spark, sf):
+    """The same texts as one file in a folder per run, read back; a run without a file has no body."""
+    root, texts = work_path(spark, "reports"), report_texts(spark, sf)
+    written = texts.filter(F.col("body").isNotNull()).select("run_id", F.col("body").alias("value"))
+    written.repartition("run_id").write.partitionBy("run_id").text(root)
+    found = results.read_run_texts(spark, root, "part-*")
+    run_id = F.split_part("run_id", F.lit("="), F.lit(2)).cast("bigint").alias("run_id")
+    return texts.select("run_id").join(found.select(run_id, "body"), "run_id", "left")
 
 
 O.cte("reports", [], """
-SELECT c_custkey AS run_id, c_custkey % 6 > 2 AS good, c_custkey % 41 AS share FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+SELECT c_custkey AS run_id, c_custkey % 6 > 2 AND c_mktsegment <> 'BUILDING' AS good, c_custkey % 41 AS share FROM customer""")
 
 
 @query("report_scan", O.sql(["reports"], """
 SELECT run_id, good AS readable, CASE WHEN good THEN 0.95 END::DOUBLE AS target_accuracy, CASE WHEN good THEN share END::BIGINT AS eats FROM reports"""))
 def report_scan(spark, sf):
-    rows = quality.read_reports(report_texts(spark, sf))
+    rows = quality.read_reports(report_files(spark, sf))
     return rows.select(
         "run_id", F.col("report").isNotNull().alias("readable"), F.col("report.target_accuracy.accuracy").alias("target_accuracy"),
         F.col("report.action_distribution")["EAT"].alias("eats"),
