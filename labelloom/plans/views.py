@@ -112,11 +112,18 @@ def example_lines(spark: SparkSession, sf: str) -> DataFrame:
     return examples(spark, sf).select("request_id", value.alias("value"))
 
 
+# Folder of the stored lines, per application and input.
+_lines: dict[tuple[str, str], str] = {}
+
+
 def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Example lines written once in the shared folder and read from there."""
-    path = work_path(spark, "lines")
-    example_lines(spark, sf).write.parquet(path)
-    return spark.read.schema("request_id bigint, value string").parquet(path)
+    """Example lines, written in the shared folder once per application and read from there."""
+    made = (spark.sparkContext.applicationId, sf)
+    if made not in _lines:
+        path = work_path(spark, "lines")
+        example_lines(spark, sf).write.parquet(path)
+        _lines[made] = path
+    return spark.read.schema("request_id bigint, value string").parquet(_lines[made])
 
 
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
