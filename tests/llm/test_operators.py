@@ -57,6 +57,24 @@ def test_exact(docs, empty):
     assert exact.exact_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize(("capacity", "hash_bits"), [(3, 64), (1, 64), (1000, 2)])
+def test_texts_are_found_through_directory_and_chains(docs, empty, capacity, hash_bits):
+    """Split buckets and long chains give the same groups; without its slot or its chain a text is not found."""
+    plain = lambda rows: sorted(((r["row"]["doc_id"], r["keep_id"], r["group_size"]) for r in rows.collect()), key=str)
+    want = plain(exact.exact_groups(docs))
+    index = exact.build_index(docs, capacity=capacity, hash_bits=hash_bits)
+    assert plain(exact.exact_groups(docs, index=index)) == want
+    chains = [r["chain"] for r in index.chains.collect()]
+    assert sum(map(len, chains)) == len({keep for _, keep, _ in want})
+    assert max(map(len, chains)) > 1 if hash_bits == 2 else index.depth > 0
+    slot = index.slots.first()["slot"]
+    for cut in (index._replace(slots=index.slots.filter(f"slot <> {slot}")), index._replace(chains=index.chains.limit(len(chains) - 1))):
+        got = plain(exact.exact_groups(docs, index=cut))
+        assert got != want and all(g in want or g[1] is None for g in got)
+    assert exact.exact_groups(empty, index=index).count() == 0
+    assert plain(exact.exact_groups(docs, index=exact.build_index(empty))) == sorted(((i, None, None) for i, _, _ in want), key=str)
+
+
 def _sets(texts):
     out = []
     for t in texts:
