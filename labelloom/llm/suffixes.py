@@ -12,7 +12,9 @@ Equal windows have equal seeds at equal places, so no shared window is missed.
    with the levels of equal size, so there are log(batches) levels.
 2. Only hits fetch text: each sends its seed and the bytes around it to the bucket of the
    seed. There, for each of the places a seed can have in a window, equal windows are
-   grouped, and every window whose group has a smaller document is marked.
+   grouped, and every window whose group has a smaller document is marked. A bucket that
+   a very frequent seed has filled past ``HOT_ROWS`` is not one task: its windows are sent
+   on by their own hashes, of equal ones in a task only the smallest document's.
 3. Marked windows are united per document and cut out of its text.
 
 Tasks reduce before each shuffle: a seed that two documents of a task share is sent once,
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import discard, id_and_text, release, reread, slices
+from labelloom.llm.common import discard, id_and_text, release, reread, slices, stored
 from labelloom.llm.hashing import Rolling, mix, row_hash, row_sums
 from labelloom.sources.session import work_path
 
@@ -41,9 +43,12 @@ LEAST_BUCKETS = 64
 # Occurrences carry the bytes around them, so their buckets are finer.
 CONTEXT_BUCKET_BYTES = 8 << 20
 LEAST_CONTEXT_BUCKETS = 128
+# Occurrences that one task takes as a bucket, about 300 MB with the hashes of their windows.
+HOT_ROWS = 1 << 19
 SLICE = 2 << 20
 CHUNK_ANCHORS = 1 << 20
 CHUNK_HITS = 1 << 17
+CHUNK_SPLIT = 1 << 15
 # Stands for the documents of a seed that several are known to share; they are already among the hits.
 SHARED = -(1 << 63)
 NO_ID = (1 << 63) - 1
@@ -52,8 +57,11 @@ HIT, LEVEL = 1, 2
 ENTRY = "kind int, bucket int, uid long, seeds binary, uids binary, counts binary"
 _ENTRY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("uid", pa.int64()), ("seeds", pa.binary()),
                     ("uids", pa.binary()), ("counts", pa.binary())])
-CONTEXT = "bucket int, block binary, uid long, starts binary"
-_CONTEXT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("uid", pa.int64()), ("starts", pa.binary())])
+CONTEXT = "bucket int, n long, block binary, uid long, starts binary"
+_CONTEXT = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("block", pa.binary()), ("uid", pa.int64()),
+                      ("starts", pa.binary())])
+WINDOW = "h long, doc long, uid long, start long, starts binary"
+_WINDOW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("starts", pa.binary())])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -345,14 +353,14 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
         later = rows["doc"] > rows["doc"][head][run]
         marked = rows[later]
         which, offset = _windows_of(marked)
-        out = [(None, None, uid, blob) for uid, blob in _united(marked["uid"][which], marked["place"][which].astype(np.int64) - offset)]
+        out = [(None, None, None, uid, blob) for uid, blob in _united(marked["uid"][which], marked["place"][which].astype(np.int64) - offset)]
         rows = rows[~later]
         bucket = (mix(rows["seed"]) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((rows["doc"], rows["seed"], bucket))
         rows, bucket = rows[order], bucket[order]
         for number, part in zip(*_parts(bucket), strict=True):
-            out.append((number, pa.compress(rows[part].tobytes(), "zstd", asbytes=True) + np.int64(part.stop - part.start).tobytes(), None, None))
-        cols = list(zip(*out, strict=True)) or [()] * 4
+            out.append((number, part.stop - part.start, pa.compress(rows[part].tobytes(), "zstd", asbytes=True), None, None))
+        cols = list(zip(*out, strict=True)) or [()] * len(_CONTEXT)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT, strict=True)], schema=_CONTEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,17 +377,15 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, CONTEXT)
 
 
-def marked_windows(t: pa.Table) -> pa.Table:
-    """Windows of one bucket that also start in a document with a smaller id."""
-    blocks = []
-    for block in t.column("block").to_pylist():
-        n = int(np.frombuffer(block[-8:], "<i8")[0])
-        blocks.append(np.frombuffer(pa.decompress(block[:-8], n * _OCCURRENCE.itemsize, "zstd", asbytes=True), _OCCURRENCE))
-    rows = np.concatenate(blocks)
-    rows = rows[np.argsort(rows["seed"], kind="stable")]
-    first, run = _runs(rows["seed"])
-    rows = rows[np.bincount(run)[run] > 1]
-    rows = rows[np.argsort(rows["doc"], kind="stable")]
+def _opened(t: pa.Table | pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The occurrences of each block."""
+    for block, n in zip(t.column("block"), t.column("n").to_pylist(), strict=True):
+        data = pa.decompress(block.as_buffer(), n * _OCCURRENCE.itemsize, "zstd", asbytes=True)
+        yield np.frombuffer(data, _OCCURRENCE)
+
+
+def _window_hashes(rows: np.ndarray) -> np.ndarray:
+    """Hash of the window that starts ``offset`` bytes before the seed, for each offset and row."""
     hashes = np.empty((_LEFT + 1, len(rows)), np.uint64)
     at = 0
     for part in _blocks(rows["bytes"]):
@@ -387,6 +393,17 @@ def marked_windows(t: pa.Table) -> pa.Table:
         for offset in range(_LEFT + 1):
             hashes[offset, at : at + len(part)] = row_hash(sums, _LEFT - offset, _LEFT - offset + LENGTH)
         at += len(part)
+    return hashes
+
+
+def marked_windows(t: pa.Table) -> pa.Table:
+    """Windows of one bucket that also start in a document with a smaller id."""
+    rows = np.concatenate(list(_opened(t)))
+    rows = rows[np.argsort(rows["seed"], kind="stable")]
+    first, run = _runs(rows["seed"])
+    rows = rows[np.bincount(run)[run] > 1]
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    hashes = _window_hashes(rows)
     uids, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for offset in range(_LEFT + 1):
         fits = np.flatnonzero((offset <= rows["left"]) & (LENGTH - offset <= rows["right"]))
@@ -401,6 +418,64 @@ def marked_windows(t: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array([x[0] for x in out], pa.int64()), "starts": pa.array([x[1] for x in out], pa.binary())})
 
 
+def split_windows(blocks: DataFrame, path: str) -> DataFrame:
+    """Windows of buckets too large for one task that also start in a document with a smaller id.
+
+    The folder ``path`` holds them until the result is written. Tasks take some blocks at a time. Of the windows with one hash there, those of the
+    smallest document go on under their hash; the others are marked. A window's smallest
+    document is a partial aggregate, and the join with it is split where a hash is hot.
+    """
+    spark = blocks.sparkSession
+
+    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes = _window_hashes(rows)
+        which, offset = _windows_of(rows)
+        # the place of the seed in the window belongs to the key, as within a bucket
+        h = mix(hashes[offset, which] + offset.astype(np.uint64))
+        order = np.lexsort((rows["doc"][which], h))
+        h, doc, uid = h[order], rows["doc"][which[order]], rows["uid"][which[order]]
+        start = rows["place"][which[order]].astype(np.int64) - offset[order]
+        head, run = _runs(h)
+        later = doc > doc[head][run]
+        marked = list(_united(uid[later], start[later]))
+        n, stays = len(marked), ~later
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[0] for x in marked], pa.int64()),
+             pa.nulls(n, pa.int64()), pa.array([x[1] for x in marked], pa.binary())], schema=_WINDOW
+        )
+        mine = [pa.array(x[stays]) for x in (h.view(np.int64), doc, uid, start)]
+        heads = pa.RecordBatch.from_arrays([*mine, pa.nulls(int(stays.sum()), pa.binary())], schema=_WINDOW)
+        yield from (heads.slice(at, 1 << 16) for at in range(0, heads.num_rows, 1 << 16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            for rows in (part for block in _opened(b) for part in _blocks(block, CHUNK_SPLIT)):
+                held.append(rows)
+                count += len(rows)
+                if count >= CHUNK_SPLIT:
+                    yield from emit(np.concatenate(held))
+                    held, count = [], 0
+        if count:
+            yield from emit(np.concatenate(held))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = list(_united(b.column("uid").to_numpy(), b.column("start").to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["uid", "starts"]
+            )
+
+    found = blocks.select("n", "block").mapInArrow(run, WINDOW)
+    found.write.option("compression", "zstd").parquet(path)
+    found = reread(spark, path, found)
+    heads = found.filter("h is not null").select("h", "doc", "uid", "start")
+    least = heads.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    later = heads.join(least.select("h", "least"), "h").filter("doc > least").select("uid", "start")
+    kind = "uid long, starts binary"
+    return found.filter("h is null").select("uid", "starts").union(later.mapInArrow(united, kind))
+
+
 def spans_of(blobs: list[bytes] | None) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the windows with these starts cover."""
     if not blobs:
@@ -413,7 +488,7 @@ def spans_of(blobs: list[bytes] | None) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (starts[last] + LENGTH).tolist(), strict=True))
 
 
-def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, batches: int = BATCHES, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """The documents with a key ``uid``, and for each uid the starts of its marked windows."""
     spark = docs.sparkSession
     keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("uid", F.xxhash64("doc", "text"))
@@ -436,21 +511,28 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame
     near.write.option("compression", "zstd").parquet(path)
     near = reread(spark, path, near)
     release(spark)
-    crossed = near.filter("bucket is not null").groupBy("bucket").applyInArrow(marked_windows, "uid long, starts binary")
+    blocks = near.filter("bucket is not null").select("bucket", "n", "block")
+    sizes = blocks.groupBy("bucket").agg(F.sum("n").alias("rows"))
+    hot = stored(sizes.filter(F.col("rows") > hot_rows).select("bucket"), "suffix-hot-buckets")
+    crossed = blocks.join(hot, "bucket", "left_anti").groupBy("bucket").applyInArrow(marked_windows, "uid long, starts binary")
+    found, hot_path = near.filter("bucket is null").select("uid", "starts").union(crossed), []
+    if not hot.isEmpty():
+        hot_path = [work_path(spark, "suffix-hot")]
+        found = found.union(split_windows(blocks.join(hot, "bucket", "left_semi"), hot_path[0]))
     out = work_path(spark, "suffix-windows")
-    near.filter("bucket is null").select("uid", "starts").union(crossed).write.parquet(out)
-    discard(spark, path)
+    found.write.parquet(out)
+    discard(spark, path, *hot_path)
     release(spark)
     return keyed, reread(spark, out, crossed)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes left) and spans of every row.
 
     Null texts are empty. Rows with equal ids don't count as earlier than each other; rows
     without an id come after all others. Texts below ``LENGTH`` bytes lose nothing.
     """
-    keyed, windows = repeated_windows(id_and_text(docs, id_col, text_col), batches)
+    keyed, windows = repeated_windows(id_and_text(docs, id_col, text_col), batches, hot_rows)
     marks = windows.groupBy("uid").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,11 @@
 """Links, spans and windows that need the whole table: crowds, other notations, hot seeds, rare words."""
 
+import hashlib
 import random
 
 from test_operators import _components, _sets
 
-from labelloom.llm import neardup, pii, toxicity
+from labelloom.llm import neardup, pii, suffixes, toxicity
 
 
 def _crowd(n, template, own, shared, seed):
@@ -138,3 +139,39 @@ def test_models_do_not_depend_on_the_order_of_rows(spark):
         t = spark.createDataFrame(rng.sample(labels, 900), "doc_id long, quality int, toxic int").repartition(parts)
         models.append(toxicity.fit(d, t))
     assert models[0] == models[1] and "vile" in models[0].weights
+
+
+def _without_repeats(texts):
+    """Removed bytes and hash of the rest, document by document."""
+    seen, out = set(), []
+    for t in texts:
+        data = t.encode()
+        mark, own = bytearray(len(data)), [data[k : k + 50] for k in range(len(data) - 49)]
+        for k, w in enumerate(own):
+            if w in seen:
+                mark[k : k + 50] = b"\1" * 50
+        seen.update(own)
+        out.append((sum(mark), hashlib.sha256(bytes(x for x, m in zip(data, mark, strict=True) if not m)).hexdigest()))
+    return out
+
+
+def test_hot_seeds_are_split(spark, monkeypatch):
+    """Lines in every document, shorter and longer than a window, with other neighbours each time."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    short, long = "licensed under the same old terms\n", "this much longer notice stands in every document of the table\n"
+    passage = [word(90) for _ in range(20)]
+    texts = []
+    for n in range(600):
+        parts = [word(rng.randrange(0, 60)), short, word(rng.randrange(0, 60)), long, word(30)]
+        texts.append("".join([*parts, passage[n % 20] if n % 3 == 0 else "", short if n % 7 == 0 else ""]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    sizes = []
+    whole = suffixes.split_windows
+    monkeypatch.setattr(suffixes, "split_windows", lambda blocks, path: sizes.append(blocks.count()) or whole(blocks, path))
+    want = _without_repeats(texts)
+    for hot_rows in (100, 1 << 19):
+        rows = suffixes.cut_repeats(frame, hot_rows=hot_rows).collect()
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in rows}
+        assert [got[n] for n in range(600)] == want
+    assert len(sizes) == 1 and sizes[0] > 0
