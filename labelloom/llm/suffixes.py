@@ -301,17 +301,24 @@ def _united(uids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield uid, mine[keep].tobytes()
 
 
+def _thinned(marks: np.ndarray) -> np.ndarray:
+    """Marks by offset and row, without those that neighbours on both sides cover; one in 16 stays."""
+    between = np.zeros_like(marks)
+    between[1:-1] = marks[:-2] & marks[2:]
+    between[::16] = False
+    return marks & ~between
+
+
 def _blocks(rows: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
     """Parts of a matrix, so that work on 64-bit copies of its bytes stays small; one empty part if it is empty."""
     for at in range(0, max(1, len(rows)), size):
         yield rows[at : at + size]
 
 
-def _windows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and offset of every window that lies in its document around the row's seed."""
+def _inside(rows: np.ndarray) -> np.ndarray:
+    """For every row and offset, whether that window around the row's seed lies in its document."""
     offsets = np.arange(_LEFT + 1)
-    fits = (offsets[None, :] <= rows["left"][:, None]) & (LENGTH - offsets[None, :] <= rows["right"][:, None])
-    return np.nonzero(fits)
+    return (offsets[None, :] <= rows["left"][:, None]) & (LENGTH - offsets[None, :] <= rows["right"][:, None])
 
 
 def contexts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -352,7 +359,7 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
         head, run = _runs(same)
         later = rows["doc"] > rows["doc"][head][run]
         marked = rows[later]
-        which, offset = _windows_of(marked)
+        offset, which = np.nonzero(_thinned(_inside(marked).T))
         out = [(None, None, None, uid, blob) for uid, blob in _united(marked["uid"][which], marked["place"][which].astype(np.int64) - offset)]
         rows = rows[~later]
         bucket = (mix(rows["seed"]) % np.uint64(buckets)).astype(np.int64)
@@ -399,22 +406,22 @@ def _window_hashes(rows: np.ndarray) -> np.ndarray:
 def marked_windows(t: pa.Table) -> pa.Table:
     """Windows of one bucket that also start in a document with a smaller id."""
     rows = np.concatenate(list(_opened(t)))
-    rows = rows[np.argsort(rows["seed"], kind="stable")]
-    first, run = _runs(rows["seed"])
-    rows = rows[np.bincount(run)[run] > 1]
-    rows = rows[np.argsort(rows["doc"], kind="stable")]
-    hashes = _window_hashes(rows)
-    uids, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    seeds = np.ascontiguousarray(rows["seed"])
+    order = np.argsort(seeds)
+    _, run = _runs(seeds[order])
+    rows = rows[np.sort(order[np.bincount(run)[run] > 1])]
+    hashes, docs = _window_hashes(rows), np.ascontiguousarray(rows["doc"])
+    marks = np.zeros((_LEFT + 1, len(rows)), bool)
     for offset in range(_LEFT + 1):
         fits = np.flatnonzero((offset <= rows["left"]) & (LENGTH - offset <= rows["right"]))
         hashed = hashes[offset, fits]
-        order = np.argsort(hashed, kind="stable")
+        order = np.argsort(hashed)
         head, run = _runs(hashed[order])
-        docs = rows["doc"][fits][order]
-        later = fits[order][docs > docs[head][run]]
-        uids.append(rows["uid"][later])
-        starts.append(rows["place"][later].astype(np.int64) - offset)
-    out = list(_united(np.concatenate(uids), np.concatenate(starts)))
+        mine = docs[fits[order]]
+        least = np.minimum.reduceat(mine, head) if len(head) else mine
+        marks[offset, fits[order]] = mine > least[run]
+    offset, which = np.nonzero(_thinned(marks))
+    out = list(_united(rows["uid"][which], rows["place"][which].astype(np.int64) - offset))
     return pa.table({"uid": pa.array([x[0] for x in out], pa.int64()), "starts": pa.array([x[1] for x in out], pa.binary())})
 
 
@@ -429,7 +436,7 @@ def split_windows(blocks: DataFrame, path: str) -> DataFrame:
 
     def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         hashes = _window_hashes(rows)
-        which, offset = _windows_of(rows)
+        which, offset = np.nonzero(_inside(rows))
         # the place of the seed in the window belongs to the key, as within a bucket
         h = mix(hashes[offset, which] + offset.astype(np.uint64))
         order = np.lexsort((rows["doc"][which], h))
