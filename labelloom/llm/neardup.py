@@ -40,6 +40,8 @@ NEAR = 2
 # A pair counts as linked when 100 * common >= PERCENT * union.
 PERCENT = 75
 SEED = 7
+# Bytes of text whose word hashes a task holds at once; they take many times the text.
+SLICE = 2 << 20
 # Shingles are ordered by counts in 2**COUNT_BITS cells, which the driver holds; any order gives the same links.
 COUNT_BITS = 20
 COUNT_BLOCK = 1 << 14
@@ -101,7 +103,7 @@ def class_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _functions(HASHES)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             sets = shingle_sets(b.column("text").to_pylist())
             keys = [set_key(s) for s in sets]
             signs = [signature(s, factors, shifts).tobytes() if len(s) else None for s in sets]
@@ -237,7 +239,7 @@ def sets_of_nodes(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             sets = shingle_sets(b.column("text").to_pylist())
             own = [set_key(s) == w for s, w in zip(sets, b.column("wanted").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
