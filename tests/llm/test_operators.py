@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -194,6 +195,53 @@ def test_word_bpe(docs, empty):
     assert wordbpe.digests(empty, path).count() == 0
 
 
+def test_word_bpe_reads_its_table(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        own = wordbpe.MergeAutomaton(json.load(f))
+    lib = Tokenizer.from_file(path)
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids
+    rng = random.Random(9)
+    words = ["a" * n for n in range(1, 90)] + ["!?" * 40_000, "the" * 20_000, "x" * 50_000]
+    words += ["".join(rng.choices(["th", "in", "er", "a", "s", "tion", "q", "é", "日"], k=rng.randint(1, 30))) for _ in range(900)]
+    assert all(own.word(w) == ids(w) for w in words)
+
+    def refuse(*_):
+        raise AssertionError("the table is full enough for words it has read")
+
+    own.pieces.clear()
+    with monkeypatch.context() as m:
+        m.setattr(own, "step", refuse)
+        m.setattr(own, "stop", refuse)
+        assert all(own.word(w) == ids(w) for w in words)
+    # a table that is started anew within words gives the same ids and stays within its bound
+    own.pieces.clear()
+    monkeypatch.setattr(wordbpe, "MAX_STEPS", 50)
+    own._start_table()
+    for w in words:
+        assert own.word(w) == ids(w)
+        assert len(own.steps) <= 50 and len(own.states) <= 52 and len(own.stops) <= 50
+    # results come from the table: a changed stop changes the last token
+    own.pieces.clear()
+    own._start_table()
+    right = own.path(b"thing")
+    own.stops = {k: (i, token + 1) for k, (i, token) in own.stops.items()}
+    assert own.path(b"thing") != right
+
+
+def test_word_bpe_of_a_shorter_vocabulary():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:300]
+    kept = set(wordbpe.byte_symbols()) | {c + "</w>" for c in wordbpe.byte_symbols()}
+    kept |= {a + b for a, b in spec["model"]["merges"]}
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t in kept}
+    own, lib = wordbpe.MergeAutomaton(spec), Tokenizer.from_str(json.dumps(spec))
+    for t in ["the thing", "inn in int", "this", "anthem"]:
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert [i for w in wordbpe.split_words(t) for i in own.word(w)] == want
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
