@@ -20,6 +20,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import string
 import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,7 +34,7 @@ from labelloom.llm.common import id_and_text, slices
 
 MAX_WORDS = 400_000
 MAX_ARCS = 500_000
-MAX_STEPS = 150_000
+MAX_STEPS = 300_000
 START = ((-1, 0),)
 # White space as the tokenizer's own pattern language has it; str.split() also takes \x1c-\x1f.
 _WHITE = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
@@ -60,6 +61,10 @@ class MergeAutomaton:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
+        # ASCII letters alone are one piece, and no control string is made of them only
+        self.letters_stay = self.pattern.findall(string.ascii_lowercase) == [string.ascii_lowercase] and not any(
+            t.isalpha() for t in self.special
+        )
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
@@ -177,15 +182,16 @@ class MergeAutomaton:
 
     def path(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word: forward by table steps, back along the accepted path."""
-        state, trail = 0, []
+        get, state, trail = self.steps.get, 0, []
         for byte in word[:-1]:
-            step = self.steps.get(state << 8 | byte)
+            step = get(state << 8 | byte)
             if step is None:
                 if len(self.steps) >= MAX_STEPS:  # also within a word: what is behind it lies in the trail
                     state = self._start_table(self.states[state])
+                    get = self.steps.get
                 step = self.step(state, byte)
-            state = step[0]
-            trail.append(step[1])
+            state, came = step
+            trail.append(came)
         if len(self.stops) >= MAX_STEPS:
             self.stops.clear()
         member, token = self.stops.get(state << 8 | word[-1]) or self.stop(state, word[-1])
@@ -199,6 +205,8 @@ class MergeAutomaton:
 
     def word(self, text: str) -> list[int]:
         """Ids of a text without white space."""
+        if self.letters_stay and text.isascii() and text.isalpha():
+            return self._piece_ids(text.lower())
         ids: list[int] = []
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():
@@ -213,14 +221,17 @@ class MergeAutomaton:
         clean = "".join(c.lower() for c in clean) if "\u03a3" in clean else clean.lower()
         ids: list[int] = []
         for piece in self.pattern.findall(clean):
-            known = self.pieces.get(piece)
-            if known is None:
-                if len(self.pieces) >= MAX_WORDS:
-                    self.pieces.clear()
-                known = self.pieces[piece] = self.path(piece.encode())
-            ids += known
+            ids += self._piece_ids(piece)
         return ids
 
+    def _piece_ids(self, piece: str) -> list[int]:
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) >= MAX_WORDS:
+                self.pieces.clear()
+            known = self.pieces[piece] = self.path(piece.encode())
+        return known
+
     def decode(self, ids: list[int]) -> str:
         """Arc labels of the path, joined as the vocabulary's tokenizer joins them."""
         return " ".join(self.labels[i] for i in ids)
