@@ -289,9 +289,10 @@ def report_texts(spark, sf):
 def report_files(spark, sf):
     """The same texts as one file in a folder per run, read back; a run without a file has no body."""
     root, texts = work_path(spark, "reports"), report_texts(spark, sf)
-    written = texts.filter(F.col("body").isNotNull()).select("run_id", F.col("body").alias("value"))
-    written.repartition("run_id").write.partitionBy("run_id").text(root)
-    found = results.read_run_texts(spark, root, "part-*")
+    run = F.concat(F.lit("run_id="), F.col("run_id").cast("string")).alias("run")
+    written = texts.filter(F.col("body").isNotNull()).select(run, F.col("body").alias("value"))
+    results.write_run_files(written.repartition("run").sortWithinPartitions("run"), root, "report.json")
+    found = results.read_run_texts(spark, root, "report.json", grouped=True)
     run_id = F.split_part("run_id", F.lit("="), F.lit(2)).cast("bigint").alias("run_id")
     return texts.select("run_id").join(found.select(run_id, "body"), "run_id", "left")
 

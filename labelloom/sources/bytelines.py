@@ -37,13 +37,14 @@ class ByteRange(InputPartition):
     stop: int
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def _sizes(root: str, glob: str) -> dict[str, int]:
     """Size of each file below a folder, or of the one file; hidden names and folders are left out."""
-    system, place = _open(root)
+    system, place = open_path(root)
     info = system.get_file_info(place)
     if info.type == fs.FileType.NotFound:
         return {}
@@ -59,7 +60,7 @@ def _sizes(root: str, glob: str) -> dict[str, int]:
 
 def _whole_lines(path: str, start: int, stop: int) -> int:
     """Offset behind the last line feed between two offsets, or ``start``; reads from the end."""
-    system, place = _open(path)
+    system, place = open_path(path)
     with system.open_input_file(place) as file:
         while stop > start:
             low = max(start, stop - CHUNK)
@@ -87,7 +88,7 @@ def read_range(part: ByteRange, first: int = 0) -> Iterator[pa.RecordBatch]:
     A line feed ends a line, a carriage return before it goes with it, and the end of the file
     ends the last one. Bytes that are no UTF-8 become replacement characters.
     """
-    system, place = _open(part.path)
+    system, place = open_path(part.path)
     with system.open_input_file(place) as file:
         size, at = file.size(), part.start
         if at > first:
@@ -140,7 +141,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         parts = []
         for root in self.roots:
-            system, place = _open(root)
+            system, place = open_path(root)
             if system.get_file_info(place).type == fs.FileType.NotFound:
                 raise FileNotFoundError(root)
             for path, size in sorted(_sizes(root, self.glob).items()):

@@ -33,6 +33,19 @@ def test_reports(spark, tmp_path):
     assert got["good"].per_stat_accuracy["hunger"].correct == 38
 
 
+def test_a_file_per_run_costs_no_task_per_run(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('run_id=', id % 100) as run", "if(id = 7, null, concat('line ', id, '\u00e9')) as value", "id")
+    placed = rows.repartition(3, "run").sortWithinPartitions("run", "id").select("run", "value")
+    assert results.write_run_files(placed, str(tmp_path), "report.json") == 100
+    texts = results.read_run_texts(spark, str(tmp_path), "report.json", grouped=True)
+    assert texts.rdd.getNumPartitions() <= results.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    got = {r.run_id: r.body for r in texts.collect()}
+    want = {f"run_id={k}": "".join(f"{'line ' + str(i) + chr(233) if i != 7 else ''}\n" for i in range(k, 400, 100)) for k in range(100)}
+    assert got == want
+    assert results.write_run_files(placed.limit(0), str(tmp_path / "none"), "report.json") == 0
+    assert results.read_run_texts(spark, str(tmp_path / "none"), "report.json", grouped=True).count() == 0
+
+
 def test_progress_files_and_logs(spark, tmp_path):
     put(tmp_path, "r1", "progress.json", '{\n "fraction": 0.5,\n "detail": "half"\n}')
     put(tmp_path, "r2", "progress.json", "")
