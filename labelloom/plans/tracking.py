@@ -116,7 +116,7 @@ def log_scan(spark, sf):
     run = F.floor(F.col("run_id") / RUN_DOCUMENTS).alias("run")
     rows = V.log_lines(spark, sf).select(run, F.col("run_id").alias("doc"), "pos", F.col("line").alias("value"))
     ordered = rows.repartition("run").sortWithinPartitions("run", "doc", "pos")
-    ordered.select("run", "value").write.partitionBy("run").text(path, lineSep="\n")
+    results.write_run_files(ordered.select(F.concat(F.lit("run="), F.col("run").cast("string")).alias("run"), "value"), path, "logs.txt")
     lines = results.read_run_logs(spark, path, "*.txt")
     word = F.conv(F.substring(F.md5(F.concat(F.col("line_no").cast("string"), F.lit(":"), "line")), 1, 8), 16, 10).cast("bigint")
     run_id = F.split_part("run_id", F.lit("="), F.lit(2)).cast("bigint").alias("run_id")

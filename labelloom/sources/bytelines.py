@@ -26,6 +26,11 @@ ARROW = pa.schema(
     [("path", pa.string()), ("range_start", pa.int64()), ("place", pa.int64()), ("at", pa.int64()), ("value", pa.string())]
 )
 RANGE_BYTES = 64 << 20
+# Small files share a task: its ranges hold this much at least, an open file counting as some bytes,
+# unless so many tasks share a scan that each has work to do.
+LEAST_TASK_BYTES = 1 << 20
+OPEN_BYTES = 64 << 10
+TASKS_PER_CORE = 4
 # Bytes read at once, within a range or while looking for a line's end.
 CHUNK = 4 << 20
 
@@ -37,6 +42,27 @@ class ByteRange(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    parts: list[ByteRange]
+
+
+def packed(parts: list[ByteRange], tasks: int, most: int) -> list[Ranges]:
+    """Neighbouring ranges together, about as many groups as ``tasks``, none much above ``most`` bytes."""
+    cost = lambda p: p.stop - p.start + OPEN_BYTES
+    room = min(max(most, 1), max(LEAST_TASK_BYTES, sum(map(cost, parts)) // max(tasks, 1)))
+    out, taken = [], 0
+    for p in parts:
+        if not out or taken + cost(p) > room:
+            out.append(Ranges([]))
+            taken = 0
+        out[-1].parts.append(p)
+        taken += cost(p)
+    return out
+
+
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
     """File system of a path, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -78,8 +104,9 @@ def _cut(path: str, start: int, stop: int, size: int) -> list[ByteRange]:
 def _batch(path: str, start: int, place: int, ats: list[int], values: list[bytes]) -> pa.RecordBatch:
     n = len(values)
     texts = [v.removesuffix(b"\r").decode("utf-8", "replace") for v in values]
-    columns = [[path] * n, [start] * n, range(place, place + n), ats, texts]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+    same = [pa.repeat(pa.scalar(path, pa.string()), n), pa.repeat(pa.scalar(start, pa.int64()), n)]
+    columns = [pa.array(c, f.type) for c, f in zip([range(place, place + n), ats, texts], list(ARROW)[2:], strict=True)]
+    return pa.RecordBatch.from_arrays([*same, *columns], schema=ARROW)
 
 
 def read_range(part: ByteRange, first: int = 0) -> Iterator[pa.RecordBatch]:
@@ -137,8 +164,9 @@ class _Reader(DataSourceReader):
         self.roots = options["path"].split("\n")
         self.glob = options.get("glob", "*")
         self.size = int(options.get("rangebytes", RANGE_BYTES))
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[InputPartition]:
         parts = []
         for root in self.roots:
             system, place = open_path(root)
@@ -146,10 +174,11 @@ class _Reader(DataSourceReader):
                 raise FileNotFoundError(root)
             for path, size in sorted(_sizes(root, self.glob).items()):
                 parts += _cut(path, 0, size, self.size)
-        return parts or [ByteRange("", 0, 0)]
+        return packed(parts, self.tasks, RANGE_BYTES) or [Ranges([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition) if partition.path else iter([])
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from read_range(part)
 
 
 class _TailReader(_Reader, DataSourceStreamReader):
@@ -210,7 +239,8 @@ def _prepared(spark: SparkSession) -> None:
 def read_byte_lines(spark: SparkSession, path: str, glob: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, range_start, place in the range from 0, byte offset ``at`` and value of all lines below a folder."""
     _prepared(spark)
-    return spark.read.format(FORMAT).option("glob", glob).option("rangebytes", range_bytes).load(path)
+    reader = spark.read.format(FORMAT).option("glob", glob).option("rangebytes", range_bytes)
+    return reader.option("tasks", TASKS_PER_CORE * spark.sparkContext.defaultParallelism).load(path)
 
 
 def tail_lines(spark: SparkSession, path: str, glob: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:

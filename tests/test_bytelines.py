@@ -79,3 +79,15 @@ def test_growing_files_across_restarts(spark, tmp_path):
     with open(folder / "b.log", "a") as f:
         f.write("\n")
     assert [x for x in drain() if x not in seen] == [("a.log", 42, "five"), ("b.log", 1, "last")]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k:03d}.log").write_text(f"a{k}\nb{k}\n")
+    lines = jsonl.read_numbered_lines(spark, str(tmp_path), glob="*.log")
+    got = {(r.path.rsplit("/", 1)[1], r.line_no, r.value) for r in lines.collect()}
+    assert got == {(f"{k:03d}.log", i + 1, f"{c}{k}") for k in range(300) for i, c in enumerate("ab")}
+    assert bytelines.read_byte_lines(spark, str(tmp_path)).rdd.getNumPartitions() <= 40
+    parts = [bytelines.ByteRange("x", at, at + 100) for at in range(0, 1000, 100)]
+    assert [p for group in bytelines.packed(parts, 3, 1 << 30) for p in group.parts] == parts
+    assert all(len(group.parts) == 1 for group in bytelines.packed(parts, 1, 1))
