@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from labelloom.functions import constants as C
 
 VOCABULARY = 32_000
 BOS_ID = 1
+# Texts given to a user tokenizer at once, in rows and bytes.
+TOKENISE_ROWS = 512
+TOKENISE_BYTES = 1 << 20
 
 
 def word_ids(text: str, limit: int) -> str:
@@ -37,20 +42,43 @@ def tokenise(
 ) -> DataFrame:
     """Same columns from a user tokenizer, built once per task.
 
-    The tokenizer takes texts and whether to add its special tokens.
+    The tokenizer takes texts and whether to add its special tokens. It gets slices of a
+    bounded number of rows and bytes, and only cut ids are kept, so a task's memory doesn't
+    grow with its batches. Both columns are made by one worker.
     """
-
-    def encode(special: bool):
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tokenizer = make_tokenizer()
-            for texts in batches:
-                yield pd.Series([ids[:max_length] for ids in tokenizer(texts.tolist(), special)])
-
-        return F.pandas_udf(run, "array<int>")
-
-    return df.withColumn("input_ids", encode(True)(F.concat("prompt", "completion"))).withColumn(
-        "prompt_ids", encode(False)(F.col("prompt"))
-    )
+    added = [StructField(c, ArrayType(IntegerType())) for c in ("input_ids", "prompt_ids")]
+    kept = [c for c in df.columns if c not in ("input_ids", "prompt_ids")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = make_tokenizer()
+
+        def encode(texts: pa.Array, special: bool) -> pa.Array:
+            return pa.array([ids[:max_length] for ids in tokenizer(texts.to_pylist(), special)], pa.list_(pa.int32()))
+
+        for b in batches:
+            for part in _slices(b):
+                full, prompt = part.column("_full"), part.column("_prompt")
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], encode(full, True), encode(prompt, False)], [*kept, *[f.name for f in added]]
+                )
+
+    schema = StructType([*[df.schema[c] for c in kept], *added])
+    texts = [F.concat("prompt", "completion").alias("_full"), F.col("prompt").alias("_prompt")]
+    order = dict.fromkeys([*df.columns, *[f.name for f in added]])
+    return df.select(*kept, *texts).mapInArrow(run, schema).select(*order)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``TOKENISE_ROWS`` rows and about ``TOKENISE_BYTES`` of text, one row at least."""
+    sizes = pa.compute.binary_length(batch.column("_full")).fill_null(0).to_pylist()
+    first = taken = 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first == TOKENISE_ROWS or taken + size > TOKENISE_BYTES):
+            yield batch.slice(first, i - first)
+            first, taken = i, 0
+        taken += size
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def mask_labels(df: DataFrame, ignore: int = C.IGNORE_INDEX) -> DataFrame:

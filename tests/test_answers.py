@@ -146,3 +146,24 @@ def test_kept_models_are_few():
     for token in ("a", "b", "a", "c", "a", "b"):
         scoring.kept_model(token, lambda token=token: made.append(token) or list)
     assert made == ["a", "b", "c", "b"] and len(scoring._models) == scoring.MODELS_KEPT
+
+
+def test_a_user_tokenizer_gets_bounded_slices(spark):
+    from labelloom.operators import tokens
+
+    def make():
+        def encode(texts, special):
+            size = sum(map(len, texts))
+            assert len(texts) <= 512 and (size <= 1 << 20 or len(texts) == 1), (len(texts), size)
+            return [[1] * special + [len(t)] * 600 for t in texts]
+
+        return encode
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr(
+        "id", "repeat('p', int(if(id = 5, 2000000, id))) as prompt", "repeat('c', int(if(id % 500 = 0, 300000, 1))) as completion", "'x' as input_ids"
+    )
+    out = tokens.tokenise(rows, make, max_length=4)
+    assert out.columns == ["id", "prompt", "completion", "input_ids", "prompt_ids"]
+    got = {r.id: (r.input_ids, r.prompt_ids) for r in out.select("id", "input_ids", "prompt_ids").collect()}
+    want = {i: (2000000 if i == 5 else i, 300000 if i % 500 == 0 else 1) for i in range(3000)}
+    assert got == {i: ([1] + [p + c] * 3, [p] * 4) for i, (p, c) in want.items()}
