@@ -13,8 +13,8 @@ the data: the cluster of texts a word is most typical of, and its frequency band
    round takes one chunk in eight, the second starts from its weights and takes the others.
 3. Texts are scored in sparse numpy batches.
 
-Counts, classes and weights come from all training texts. Only the centres of the text
-clusters are fitted on a bounded sample of ``SAMPLE_DOCS`` training documents.
+Frequent words, centres of the text clusters, counts, classes and weights come from all
+training texts.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ BLOCKS = 128
 LAGS = 3
 RATE = 0.5
 MINI = 8192
-SAMPLE_DOCS = 1000
 TOP_WORDS = 256
+PROFILE_ROWS = 4096
+CENTRE_ROUNDS = 10
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 64
@@ -72,49 +73,89 @@ def _tokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
 
 
 def text_clusters(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of a sample of training texts, and centres of their profiles."""
-    sample = (
-        docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    )
+    """The most frequent words of all training texts, and centres of the texts' profiles over them.
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                best = Counter(t.encode("utf-8", "surrogatepass").translate(LOWER).split()).most_common(TOP_WORDS)
-                rows.append([{"word": w, "n": n} for w, n in best])
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["profile"])
-
-    found = sample.mapInArrow(profile, "profile array<struct<word:binary, n:long>>").collect()
-    texts = [{bytes(x["word"]): x["n"] for x in r["profile"]} for r in found]
-    total: Counter = Counter()
-    for t in texts:
-        total.update(t)
-    top = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TOP_WORDS]]
-    place = {w: i for i, w in enumerate(top)}
-    x = np.zeros((len(texts), max(1, len(top))))
-    for i, t in enumerate(texts):
-        for w, n in t.items():
-            if w in place:
-                x[i, place[w]] = n
-    x = _profile(x)
-    x = x[x.any(axis=1)]
-    centres = np.zeros((CLUSTERS, max(1, len(top))))
-    if len(x):
-        picked = [0]
-        while len(picked) < min(CLUSTERS, len(x)):
-            picked.append(int((x @ x[picked].T).max(axis=1).argmin()))
-        centres[: len(picked)] = x[picked]
-        for _ in range(20):
-            mine = (x @ centres.T).argmax(axis=1)
-            for k in range(len(picked)):
-                if (mine == k).any():
-                    centres[k] = _profile(x[mine == k].sum(axis=0, keepdims=True) ** 2)[0]
+    Profiles are written once. Spherical k-means starts from the signs of the profiles' main
+    directions; each round is one pass that adds up sums of a fixed size.
+    """
+    training = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")) % 7 != 2).select("text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=CHUNK_BYTES):
+            seen = Counter("\n".join(b.column("text").to_pylist()).encode("utf-8", "surrogatepass").translate(LOWER).split())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    counts = training.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
+    place, width = {w: i for i, w in enumerate(top)}, max(1, len(top))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=CHUNK_BYTES):
+            for at in range(0, b.num_rows, PROFILE_ROWS):
+                texts = b.column("text").slice(at, PROFILE_ROWS).to_pylist()
+                x = np.zeros((len(texts), width), "<u4")
+                for i, t in enumerate(texts):
+                    found = [place[w] for w in t.encode("utf-8", "surrogatepass").translate(LOWER).split() if w in place]
+                    x[i] = np.bincount(found, minlength=width)
+                yield pa.RecordBatch.from_arrays([pa.array([x[x.any(axis=1)].tobytes()], pa.binary())], ["profiles"])
+
+    stored, at = _writer(docs.sparkSession)(training.mapInArrow(profiles, "profiles binary"), "lm-profiles")
+    moments = _sums(stored, width, lambda x: np.vstack([x.T @ x, x.sum(axis=0), np.full(width, len(x))]))
+    centres = first_centres(moments[:-2], moments[-2], moments[-1, 0])
+    for _ in range(CENTRE_ROUNDS if centres.any() else 0):
+        sums = _sums(stored, width, lambda x, c=centres: _by_centre(x, c))
+        before, centres = centres, np.where(sums.any(axis=1, keepdims=True), _profile(sums**2), centres)
+        if np.abs(centres - before).max() < 1e-4:
+            break
+    discard(docs.sparkSession, at)
     return top, centres
 
 
+def _by_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of the profiles that are nearest to each centre."""
+    mine = (x @ centres.T).argmax(axis=1)
+    return np.stack([x[mine == k].sum(axis=0) for k in range(len(centres))])
+
+
+def _sums(stored: DataFrame, width: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of`` (rows of ``width`` numbers) of all stored profiles, added up by blocks of rows."""
+    kind, rows = "block int, sums binary", 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            for data in b.column("profiles"):
+                total = total + of(_profile(np.frombuffer(data.as_py(), "<u4").reshape(-1, width).astype(float)))
+        if isinstance(total, np.ndarray):
+            parts = [total[i : i + rows].tobytes() for i in range(0, len(total), rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "sums"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_py()) for s in t.column("sums"))
+        return pa.table({"block": t.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = stored.mapInArrow(run, kind).groupBy("block").applyInArrow(add, kind).collect()
+    if not found:
+        return of(np.zeros((0, width)))
+    return np.concatenate([np.frombuffer(r["sums"]).reshape(-1, width) for r in sorted(found, key=lambda r: r["block"])])
+
+
+def first_centres(products: np.ndarray, total: np.ndarray, n: float) -> np.ndarray:
+    """Points around the mean, one for each choice of signs of the main directions of the profiles."""
+    width = len(total)
+    if not n:
+        return np.zeros((CLUSTERS, width))
+    mean = total / n
+    spread, along = np.linalg.eigh(products / n - np.outer(mean, mean))
+    centres = np.tile(mean, (CLUSTERS, 1))
+    for i in range(min(CLUSTERS.bit_length() - 1, width)):
+        v = along[:, -1 - i]
+        v = v * np.sign(v[np.abs(v).argmax()]) * np.sqrt(max(spread[-1 - i], 0.0))
+        centres += np.where(np.arange(CLUSTERS)[:, None] >> i & 1, -v, v)
+    centres = np.maximum(centres, 0)
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+
+
 def _profile(counts: np.ndarray) -> np.ndarray:
     x = np.sqrt(counts)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

@@ -175,3 +175,24 @@ def test_hot_seeds_are_split(spark, monkeypatch):
         got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in rows}
         assert [got[n] for n in range(600)] == want
     assert len(sizes) == 1 and sizes[0] > 0
+
+
+def test_text_clusters_are_fitted_on_all_training_texts(spark):
+    """More texts than the 1,000 that were once sampled: two kinds, the rarer one and its words are seen as well."""
+    import numpy as np
+
+    from labelloom.llm import langmodel
+
+    rows = [(i, "Der die das und " * 3 if i % 700 == 0 else "the cat sat on " * (1 + i % 3)) for i in range(4200)]
+    used = [(i, t) for i, t in rows if langmodel.is_training(i)]
+    top, centres = langmodel.text_clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want: dict[bytes, int] = {}
+    for _, t in used:
+        for w in t.lower().encode().split():
+            want[w] = want.get(w, 0) + 1
+    assert top == sorted(want, key=lambda w: (-want[w], w))
+    kinds = [np.array([float(w in text.encode().split()) for w in top]) / 2 for text in ("der die das und", "the cat sat on")]
+    best = [(centres @ k).argmax() for k in kinds]
+    assert best[0] != best[1] and all(centres[b] @ k > 0.99 for b, k in zip(best, kinds, strict=True))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert not langmodel.text_clusters(empty)[1].any()
