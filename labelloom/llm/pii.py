@@ -8,6 +8,10 @@ around them. They learn from base spans against spans that fail the checks and s
 pass them where no word of their kind stands before; all of these as they stand and rewritten
 into the wide notations alike, so that the notation itself tells nothing. Wide spans that pass
 near such a word have no label. Per-kind thresholds are calibrated on whole documents kept aside.
+
+Trees and thresholds come from all candidates. Numbers become places among 31 quantiles, equal
+rows are counted once, and every level of a tree is one pass that adds up histograms of a fixed
+size, in whole numbers, so that sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -18,18 +22,26 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from labelloom.llm.common import id_and_text, least_hashed, slices, stored
+from labelloom.llm.common import id_and_text, slices, stored
+from labelloom.operators.numbering import in_written_order, numbered, with_starts
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_CANDIDATES = 20_000
+LEAST_CANDIDATES = 50
+CUTS = 31
+# Slopes and bends are added up in this unit, weights in decimals.
+UNIT = 2**26
+WEIGHT = "decimal(12,6)"
 PRECISION = 0.9
 DEFAULT_THRESHOLD = 0.9
+LEAST_HELD = 20
 
 # The base patterns. Starts inside a run of digits cannot match where the run's start doesn't.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -201,38 +213,30 @@ class Boosted:
     start: float = 0.0
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def fit(
-        self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 40, rate: float = 0.3, leaf: float = 2.0
-    ) -> Boosted:
-        share = min(max(np.average(y, weights=w), 1e-3), 1 - 1e-3)
+    def fit(self, rows: DataFrame, share: float, edges: list[np.ndarray], rounds: int = 40, rate: float = 0.3, leaf: float = 2.0) -> Boosted:
+        """Trees from all ``binned`` rows, two passes each; ``share`` of them, by weight, is confirmed."""
+        share = min(max(share, 1e-3), 1 - 1e-3)
         self.start = float(np.log(share / (1 - share)))
-        score = np.full(len(y), self.start)
-        edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
+        places = Boosted(start=self.start)  # the same trees on the places of the numbers
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, w * (y - p), w * p * (1 - p), edges, 2, rate, leaf)
-            score = score + self._walk(tree, x)
-            self.trees.append(tree)
-        return self
-
-    def _grow(self, x, slope, bend, edges, depth, rate, leaf) -> tuple:
-        best = (1e-6, None, None)
-        if depth:
-            whole = slope.sum() ** 2 / (bend.sum() + leaf)
-            for f, cuts in enumerate(edges):
-                for cut in cuts:
-                    left = x[:, f] <= cut
-                    gain = -whole
-                    for side in (left, ~left):
-                        gain += slope[side].sum() ** 2 / (bend[side].sum() + leaf)
-                    if gain > best[0] and left.any() and not left.all():
-                        best = (gain, f, cut)
-        if best[1] is None:
-            return (rate * slope.sum() / (bend.sum() + leaf),)
-        left = x[:, best[1]] <= best[2]
-        return (best[1], best[2], *[
-            self._grow(x[s], slope[s], bend[s], edges, depth - 1, rate, leaf) for s in (left, ~left)
-        ])
+            tree, whole = (0.0,), _histograms(rows, places, None, len(edges))
+            split = _split(whole[0], edges, leaf)
+            if split is None:
+                tree = _leaf(whole[0], rate, leaf)
+            else:
+                sides = _histograms(rows, places, split, len(edges))
+                tree = (*split, *[self._grow(side, edges, rate, leaf) for side in sides])
+            places.trees.append(tree)
+        self.trees = [_with_cuts(tree, edges) for tree in places.trees]
+        return places
+
+    def _grow(self, sums: np.ndarray, edges: list[np.ndarray], rate: float, leaf: float) -> tuple:
+        split = _split(sums, edges, leaf)
+        if split is None:
+            return _leaf(sums, rate, leaf)
+        left = sums[:, split[0]].copy()
+        left[:, split[1] + 1 :] = 0
+        return (*split, _leaf(left[:, None], rate, leaf), _leaf((sums[:, split[0]] - left)[:, None], rate, leaf))
 
     def _walk(self, tree: tuple, x: np.ndarray) -> np.ndarray:
         if len(tree) == 1:
@@ -245,18 +249,6 @@ class Boosted:
             score = score + self._walk(tree, x)
         return 1 / (1 + np.exp(-score))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
-        """Per kind, the lowest score at which the wanted share of candidates, by weight, was confirmed."""
-        p = self.probability(x)
-        for kind in range(len(KINDS)):
-            mine = x[:, 0] == kind
-            order = np.argsort(-p[mine], kind="stable")
-            right = np.cumsum((w * y)[mine][order]) / np.cumsum(w[mine][order])
-            good = np.flatnonzero(right >= PRECISION)
-            found = p[mine][order][good[-1]] if len(good) and good[-1] >= 20 else DEFAULT_THRESHOLD
-            self.thresholds[kind] = max(float(found), 0.5)
-        return self
-
     def selects(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not spans or not self.trees:
             return []
@@ -265,6 +257,62 @@ class Boosted:
         return [s for s, v in zip(spans, p, strict=True) if v >= self.thresholds.get(s[1], DEFAULT_THRESHOLD)]
 
 
+def _leaf(sums: np.ndarray, rate: float, leaf: float) -> tuple:
+    _, slope, bend = (int(v) / UNIT for v in sums[:, 0].sum(axis=1))
+    return (rate * slope / (bend + leaf),)
+
+
+def _split(sums: np.ndarray, edges: list[np.ndarray], leaf: float) -> tuple[int, int] | None:
+    """The number and the place of the cut that gain most; None without any gain."""
+    left = np.cumsum(sums, axis=2)
+    right = left[:, :, -1:] - left
+    gain = 0.0
+    for n, slope, bend in (left, right):
+        gain = gain + np.where(n > 0, (slope / UNIT) ** 2 / (bend / UNIT + leaf), -np.inf)
+    slope, bend = left[1:, 0, -1] / UNIT
+    gain -= slope**2 / (bend + leaf)
+    gain[np.arange(CUTS + 1) >= np.array([len(cuts) for cuts in edges])[:, None]] = -np.inf
+    at = int(gain.argmax())
+    return divmod(at, CUTS + 1) if gain.flat[at] > 1e-6 else None
+
+
+def _with_cuts(tree: tuple, edges: list[np.ndarray]) -> tuple:
+    if len(tree) == 1:
+        return tree
+    return (tree[0], float(edges[tree[0]][tree[1]]), *[_with_cuts(t, edges) for t in tree[2:]])
+
+
+def _places(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("places").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+
+
+def _histograms(rows: DataFrame, model: Boosted, split: tuple[int, int] | None, width: int) -> np.ndarray:
+    """Candidates, slopes and bends by number and place: of all rows, or of both sides of a split.
+
+    Every task sends one row of a fixed size.
+    """
+    nodes, cells = 1 if split is None else 2, width * (CUTS + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((nodes, 3, cells), np.int64)
+        for b in batches:
+            x = _places(b)
+            n, y = b.column("n").to_numpy(), b.column("confirmed").to_numpy(zero_copy_only=False).astype(float)
+            w = np.array([float(v) for v in b.column("weight").to_pylist()])
+            p = model.probability(x)
+            cell = x + np.arange(width) * (CUTS + 1)
+            side = np.zeros(len(n), int) if split is None else (x[:, split[0]] > split[1]).astype(int)
+            for i, values in enumerate((n, np.rint(w * (y - p) * UNIT) * n, np.rint(w * p * (1 - p) * UNIT) * n)):
+                at = (cell + side[:, None] * cells).ravel()
+                found = np.bincount(at, np.repeat(values.astype(float), width), nodes * cells)
+                total[:, i] += found.astype(np.int64).reshape(nodes, cells)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    shape = (nodes, 3, width, CUTS + 1)
+    found = rows.select("places", "confirmed", "weight", "n").mapInArrow(run, "sums binary").collect()
+    return sum((np.frombuffer(r["sums"], np.int64).reshape(shape) for r in found), np.zeros(shape, np.int64))
+
+
 class Cover:
     """Answers whether a span overlaps one of the given spans, which are in order of their starts."""
 
@@ -311,20 +359,82 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, x array<double>, confirmed boolean, weight double")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_CANDIDATES) -> Boosted:
-    """Trees and thresholds from at most ``rows`` candidates, chosen by a hash of their place.
+def cut_points(found: DataFrame, width: int) -> list[np.ndarray]:
+    """Up to ``CUTS`` distinct quantiles of each number; exact, from counts of its distinct values."""
+    shares = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])
+    row = found.agg(*[F.percentile(F.col("x")[i], shares).alias(f"x{i}") for i in range(width)]).first()
+    return [np.unique(np.array(c)) for c in row]
+
+
+def binned(found: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Candidates with the places of their numbers among the cuts; equal ones are one row with their count ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, len(edges))
+            at = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(edges)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.tobytes() for r in at], pa.binary()), pa.array(x[:, 0].astype(np.int32)),
+                 *[b.column(c) for c in ("confirmed", "weight", "aside")]], ["places", "kind", "confirmed", "weight", "aside"],
+            )
+
+    rows = found.mapInArrow(run, "places binary, kind int, confirmed boolean, weight double, aside boolean")
+    keys = ["places", "kind", "confirmed", F.col("weight").cast(WEIGHT).alias("weight"), "aside"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Boosted:
+    """Trees and thresholds from all candidates.
 
     Documents whose id hashes to a fourth of all values are kept aside for the thresholds.
     """
     found = stored(candidates(docs, id_col, text_col), "candidates")
-    sample = least_hashed(found, rows, "doc_id", "start", "x").select("doc_id", "x", "confirmed", "weight").toPandas()
-    if len(sample) < 50 or sample["confirmed"].nunique() < 2:
+    mine = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")) % 4 == 0
+    kinds = found.groupBy("confirmed", F.col("weight").cast(WEIGHT).alias("weight"), mine.alias("aside"))
+    kinds = kinds.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).collect()
+    if sum(r["n"] for r in kinds) < LEAST_CANDIDATES or len({r["confirmed"] for r in kinds}) < 2:
         return Boosted()
-    x, y, w = np.stack(sample["x"].to_list()), sample["confirmed"].to_numpy(float), sample["weight"].to_numpy()
-    aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["doc_id"]])
-    if aside.all() or not aside.any():
-        aside = np.arange(len(y)) % 4 == 0
-    return Boosted().fit(x[~aside], y[~aside], w[~aside]).calibrate(x[aside], y[aside], w[aside])
+    if len({r["aside"] for r in kinds}) == 1:
+        found = numbered(found, F.xxhash64("doc_id", "start", "x"), many_ties=True)
+        mine = F.col("place") % 4 == 0
+    found = found.select("x", "confirmed", "weight", mine.alias("aside"))
+    edges = cut_points(found.filter(~F.col("aside")), kinds[0]["width"])
+    rows = stored(binned(found, edges), "places", "aside")
+    learn = rows.filter(~F.col("aside"))
+    weights = learn.groupBy("confirmed").agg(F.sum(F.col("weight") * F.col("n")).alias("w")).collect()
+    share = sum(r["w"] for r in weights if r["confirmed"]) / sum(r["w"] for r in weights)
+    model = Boosted()
+    places = model.fit(learn, float(share), edges)
+    model.thresholds = thresholds(rows.filter("aside"), places)
+    return model
+
+
+def thresholds(aside: DataFrame, places: Boosted) -> dict[int, float]:
+    """Per kind, the lowest score down to which the wanted share of all candidates, by weight, was confirmed.
+
+    The share holds where the running total of confirmed weight less the wanted part of all weight is not below zero.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = pa.array(places.probability(_places(b)), pa.float64())
+            yield pa.RecordBatch.from_arrays([p, *[b.column(c) for c in ("kind", "confirmed", "weight", "n")]], ["p", "kind", "confirmed", "weight", "n"])
+
+    over = F.col("confirmed").cast("int") - F.lit(PRECISION).cast("decimal(4,3)")
+    scored = aside.select("places", "kind", "confirmed", "weight", "n").mapInArrow(run, f"p double, kind int, confirmed boolean, weight {WEIGHT}, n long")
+    scored = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(over * F.col("weight") * F.col("n")).cast("decimal(38,9)").alias("over"))
+    ordered = in_written_order(scored, "kind", F.desc("p"))
+    totals = dict(sorted((r["kind"], r["over"]) for r in ordered.groupBy("kind").agg(F.sum("over").alias("over")).collect()))
+    before = F.lit(0)
+    for kind in totals:
+        before = F.when(F.col("kind") == kind, F.lit(sum((v for k, v in totals.items() if k < kind), Decimal(0)))).otherwise(before)
+    good = with_starts(ordered, "over", "before").filter(F.col("before") + F.col("over") - before >= 0)
+    least = {r["kind"]: r["p"] for r in good.groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    enough = F.lit(False)
+    for kind, p in least.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("p") >= p))
+    held = {r["kind"]: r["n"] for r in ordered.filter(enough).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return {k: max(least[k] if held.get(k, 0) > LEAST_HELD else DEFAULT_THRESHOLD, 0.5) for k in range(len(KINDS))}
 
 
 def find(text: str, model: Boosted) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

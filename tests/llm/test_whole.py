@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 from test_operators import _components, _sets
 
 from labelloom.llm import neardup, pii, suffixes, toxicity
@@ -196,3 +198,58 @@ def test_text_clusters_are_fitted_on_all_training_texts(spark):
     assert best[0] != best[1] and all(centres[b] @ k > 0.99 for b, k in zip(best, kinds, strict=True))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert not langmodel.text_clusters(empty)[1].any()
+
+
+class _Dense:
+    """Boosted trees of depth two over all rows at once, and thresholds from sorted scores."""
+
+    def __init__(self, x, y, w, leaf=2.0, rate=0.3):
+        share = np.average(y, weights=w)
+        self.start = float(np.log(share / (1 - share)))
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
+        self.leaf, self.rate, self.trees = leaf, rate, []
+        score = np.full(len(y), self.start)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-score))
+            self.trees.append(self.grow(x, w * (y - p), w * p * (1 - p), 2))
+            score = score + pii.Boosted()._walk(self.trees[-1], x)
+
+    def grow(self, x, slope, bend, depth):
+        best = (1e-6, None, None)
+        for f, cuts in enumerate(self.edges if depth else []):
+            for cut in cuts:
+                left = x[:, f] <= cut
+                if left.any() and not left.all():
+                    gain = sum(slope[s].sum() ** 2 / (bend[s].sum() + self.leaf) for s in (left, ~left))
+                    gain -= slope.sum() ** 2 / (bend.sum() + self.leaf)
+                    best = (gain, f, cut) if gain > best[0] + 1e-9 else best
+        if best[1] is None:
+            return (self.rate * slope.sum() / (bend.sum() + self.leaf),)
+        left = x[:, best[1]] <= best[2]
+        return (best[1], best[2], *[self.grow(x[s], slope[s], bend[s], depth - 1) for s in (left, ~left)])
+
+
+def test_trees_learn_from_all_candidates(spark):
+    """More candidates than the 20,000 that were once sampled: trees and thresholds are those of all of them."""
+    rng = random.Random(30)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for n in range(4000):
+        parts = [f"host 10.{n % 250}.{rng.randrange(300)}.{rng.randrange(300)}", f"mail me{n % 9}@{'ab' * (1 + n % 4)}.org",
+                 f"pay {number(4)} {number(4)} {number(4)} {number(4)}", f"call +{number(rng.randrange(8, 14))}, or {number(3)}-{number(3)}-{number(4)}"]
+        texts.append(" and then ".join(rng.sample(parts, 4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.candidates(docs).toPandas()
+    assert len(found) > 21_000
+    x, y, w = np.stack(found["x"].to_list()), found["confirmed"].to_numpy(float), found["weight"].to_numpy()
+    aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in found["doc_id"]])
+    model, want = pii.fit(docs), _Dense(x[~aside], y[~aside], w[~aside])
+    same = pii.Boosted(want.trees, want.start)
+    assert np.allclose(model.probability(x), same.probability(x), atol=1e-4)
+    p = model.probability(x)
+    for kind in range(4):
+        mine = aside & (x[:, 0] == kind)
+        good = [v for v in np.unique(p[mine]) if np.average(y[mine & (p >= v)], weights=w[mine & (p >= v)]) >= pii.PRECISION - 1e-12]
+        low = good[0] if good and (mine & (p >= good[0])).sum() > 20 else pii.DEFAULT_THRESHOLD
+        assert abs(model.thresholds[kind] - max(low, 0.5)) < 1e-9, kind
+    assert pii.fit(docs.repartition(5)) == model
