@@ -5,9 +5,9 @@ it (the last one, the two last ones as a pair, and single ones two and three pla
 times that of the token within its class, from counts with one added. Classes come from
 the data: the cluster of texts a word is most typical of, and its frequency band.
 
-1. Documents become chunks of coded tokens, written once. Chunks send their distinct words
-   with counts to buckets of words; there the counts meet, and each chunk gets its words'
-   totals and classes back by position.
+1. Documents become chunks of coded tokens, written once; frequent words and text clusters
+   are found from these. Chunks send their distinct words with counts to buckets of words;
+   there the counts meet, and each chunk gets its words' totals and classes back by position.
 2. Every task takes gradient steps over its chunks of training texts from the common
    weights; weights are averaged over tasks, each row by how often it was used. The first
    round takes one chunk in eight, the second starts from its weights and takes the others.
@@ -20,7 +20,6 @@ training texts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,8 +49,7 @@ LEAST_BUCKETS = 64
 # Class of words never seen in training: the rarest band of the first cluster.
 UNSEEN = BANDS - 1
 
-CHUNK = ("chunk long, ids array<long>, train binary, sizes binary, codes binary, words binary, hashes binary, "
-         "clusters binary, train_tokens long, by_cluster array<long>")
+CHUNK = "chunk long, ids array<long>, train binary, sizes binary, codes binary, words binary, hashes binary"
 REQUEST = "bucket int, chunk long, words binary, counts binary"
 ANSWER = "bucket int, chunk long, counts binary, classes binary, sums array<long>"
 CODED = ("chunk long, ids array<long>, train binary, sizes binary, codes binary, tokens binary, counts binary, "
@@ -73,33 +71,40 @@ def _tokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
 
 
 def text_clusters(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of all training texts, and centres of the texts' profiles over them.
+    """The most frequent words of all training texts, and centres of the texts' profiles over them."""
+    parts, at = _writer(docs.sparkSession)(chunks(docs), "lm-chunks")
+    found = chunk_clusters(parts)
+    discard(docs.sparkSession, at)
+    return found
+
+
+def chunk_clusters(stored_chunks: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """``text_clusters`` from stored chunks.
 
     Profiles are written once. Spherical k-means starts from the signs of the profiles' main
     directions; each round is one pass that adds up sums of a fixed size.
     """
-    training = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")) % 7 != 2).select("text")
+    spark, parts = stored_chunks.sparkSession, stored_chunks.select("train", "sizes", "codes", "words")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=CHUNK_BYTES):
-            seen = Counter("\n".join(b.column("text").to_pylist()).encode("utf-8", "surrogatepass").translate(LOWER).split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for train, sizes, codes, seen in _texts(batches):
+            n = np.bincount(codes[np.repeat(train, sizes)], minlength=len(seen))
+            n[0] = 0  # ends of texts are no words
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([seen[i] for i in used.tolist()], pa.binary()), pa.array(n[used], pa.int64())], ["word", "n"])
 
-    counts = training.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = parts.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
     place, width = {w: i for i, w in enumerate(top)}, max(1, len(top))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=CHUNK_BYTES):
-            for at in range(0, b.num_rows, PROFILE_ROWS):
-                texts = b.column("text").slice(at, PROFILE_ROWS).to_pylist()
-                x = np.zeros((len(texts), width), "<u4")
-                for i, t in enumerate(texts):
-                    found = [place[w] for w in t.encode("utf-8", "surrogatepass").translate(LOWER).split() if w in place]
-                    x[i] = np.bincount(found, minlength=width)
-                yield pa.RecordBatch.from_arrays([pa.array([x[x.any(axis=1)].tobytes()], pa.binary())], ["profiles"])
-
-    stored, at = _writer(docs.sparkSession)(training.mapInArrow(profiles, "profiles binary"), "lm-profiles")
+        for train, sizes, codes, seen in _texts(batches):
+            x = _counts_of(place, width, sizes, codes, seen)[train]
+            x = x[x.any(axis=1)].astype("<u4")
+            rows = [x[i : i + PROFILE_ROWS].tobytes() for i in range(0, len(x), PROFILE_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["profiles"])
+
+    stored, at = _writer(spark)(parts.mapInArrow(profiles, "profiles binary"), "lm-profiles")
     moments = _sums(stored, width, lambda x: np.vstack([x.T @ x, x.sum(axis=0), np.full(width, len(x))]))
     centres = first_centres(moments[:-2], moments[-2], moments[-1, 0])
     for _ in range(CENTRE_ROUNDS if centres.any() else 0):
@@ -107,10 +112,46 @@ def text_clusters(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
         before, centres = centres, np.where(sums.any(axis=1, keepdims=True), _profile(sums**2), centres)
         if np.abs(centres - before).max() < 1e-4:
             break
-    discard(docs.sparkSession, at)
+    discard(spark, at)
     return top, centres
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Training marks, sizes, codes and the words they stand for of each stored chunk."""
+    for b in batches:
+        for row in range(b.num_rows):
+            train, sizes, codes = (np.frombuffer(b.column(c)[row].as_py(), k) for c, k in (("train", bool), ("sizes", "<u4"), ("codes", "<u4")))
+            yield train, sizes, codes, b.column("words")[row].as_py().split(b"\n")
+
+
+def _counts_of(place: dict[bytes, int], width: int, sizes: np.ndarray, codes: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """How often each frequent word stands in each text."""
+    known = np.array([place.get(w, -1) for w in words])[codes]
+    cells = np.repeat(np.arange(len(sizes)) * width, sizes) + known
+    return np.bincount(cells[known >= 0], minlength=len(sizes) * width).reshape(-1, width)
+
+
+def _clusters(top: list[bytes], centres: np.ndarray) -> Callable[..., np.ndarray]:
+    """The cluster of each text of a chunk, from its sizes, codes and words."""
+    place, width = {w: i for i, w in enumerate(top)}, len(centres[0])
+    return lambda *texts: (_profile(_counts_of(place, width, *texts)) @ centres.T).argmax(axis=1)
+
+
+def cluster_tokens(stored_chunks: DataFrame, top: list[bytes], centres: np.ndarray) -> np.ndarray:
+    """Tokens of training texts in each cluster."""
+    cluster_of = _clusters(top, centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLUSTERS, np.int64)
+        for train, sizes, *rest in _texts(batches):
+            total += np.bincount(cluster_of(sizes, *rest)[train], weights=sizes[train], minlength=CLUSTERS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLUSTERS), pa.int32()), pa.array(total)], ["cluster", "n"])
+
+    found = stored_chunks.select("train", "sizes", "codes", "words").mapInArrow(run, "cluster int, n long")
+    sums = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.sum("n").alias("n")).collect()}
+    return np.array([sums.get(k, 0) for k in range(CLUSTERS)], np.int64)
+
+
 def _by_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Sums of the profiles that are nearest to each centre."""
     mine = (x @ centres.T).argmax(axis=1)
@@ -161,11 +202,11 @@ def _profile(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def chunks(docs: DataFrame, top: list[bytes], centres: np.ndarray) -> DataFrame:
+def chunks(docs: DataFrame) -> DataFrame:
     """Coded chunks: token codes (0 ends a text) and the words they stand for, one line each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, place, count = Rolling(), {w: i for i, w in enumerate(top)}, 0
+        rolling, count = Rolling(), 0
         task = TaskContext.get().partitionId()
         for b in slices(batches, limit=CHUNK_BYTES):
             ids = b.column("doc_id").to_pylist()
@@ -179,44 +220,33 @@ def chunks(docs: DataFrame, top: list[bytes], centres: np.ndarray) -> DataFrame:
             hashes, first, codes = hashes[order], first[order], rank[codes]
             words = [buffer[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
             doc = np.repeat(np.arange(len(ids)), sizes)
-            # profile of each text over the top words
-            tops = np.array([place.get(w, -1) for w in words] or [-1])
-            known = tops[codes] if len(codes) else np.empty(0, np.int64)
-            pairs = doc[known >= 0] * len(centres[0]) + known[known >= 0]
-            profile = np.bincount(pairs, minlength=len(ids) * len(centres[0])).reshape(len(ids), -1)
-            cluster = (_profile(profile) @ centres.T).argmax(axis=1)
             all_codes = np.zeros(len(codes) + len(ids), np.uint32)
             all_codes[np.arange(len(codes)) + doc] = codes + 1
             train = np.array([is_training(i) for i in ids])
-            by = np.bincount(cluster[train], weights=(sizes + 1)[train], minlength=CLUSTERS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(task << 32) + count], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                  *[pa.array([x.tobytes()], pa.binary()) for x in (train, (sizes + 1).astype("<u4"), all_codes)],
                  pa.array([b"\n".join([b"", *words])], pa.binary()),
-                 pa.array([np.concatenate([[1], hashes >> np.uint64(32)]).astype("<u4").tobytes()], pa.binary()),
-                 pa.array([cluster.astype(np.uint8).tobytes()], pa.binary()),
-                 pa.array([int(by.sum())], pa.int64()), pa.array([by.tolist()], pa.list_(pa.int64()))],
-                ["chunk", "ids", "train", "sizes", "codes", "words", "hashes", "clusters", "train_tokens", "by_cluster"],
+                 pa.array([np.concatenate([[1], hashes >> np.uint64(32)]).astype("<u4").tobytes()], pa.binary())],
+                ["chunk", "ids", "train", "sizes", "codes", "words", "hashes"],
             )
             count += 1
 
     return docs.mapInArrow(run, CHUNK)
 
 
-def requests(stored_chunks: DataFrame, buckets: int) -> DataFrame:
+def requests(stored_chunks: DataFrame, buckets: int, top: list[bytes], centres: np.ndarray) -> DataFrame:
     """Words of each chunk by bucket, with their counts in training texts of each cluster."""
+    cluster_of = _clusters(top, centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[row].as_py(), kind)  # noqa: B023, E731
-                codes, sizes, train = get("codes", "<u4"), get("sizes", "<u4"), get("train", bool)
-                words = b.column("words")[row].as_py().split(b"\n")
-                cluster = np.repeat(get("clusters", np.uint8), sizes)
+            for row, (train, sizes, codes, words) in enumerate(_texts([b])):
+                cluster = np.repeat(cluster_of(sizes, codes, words), sizes)
                 used = np.repeat(train, sizes)
                 cells = codes[used].astype(np.int64) * CLUSTERS + cluster[used]
                 counts = np.bincount(cells, minlength=len(words) * CLUSTERS).reshape(-1, CLUSTERS).astype("<u4")
-                bucket = get("hashes", "<u4").astype(np.int64) % buckets
+                bucket = np.frombuffer(b.column("hashes")[row].as_py(), "<u4").astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [
@@ -229,7 +259,7 @@ def requests(stored_chunks: DataFrame, buckets: int) -> DataFrame:
                      pa.array([counts[at].T.tobytes() for _, at in rows], pa.binary())], ["bucket", "chunk", "words", "counts"],
                 )
 
-    columns = ["chunk", "codes", "sizes", "train", "clusters", "words", "hashes"]
+    columns = ["chunk", "codes", "sizes", "train", "words", "hashes"]
     return stored_chunks.select(columns).mapInArrow(run, REQUEST)
 
 
@@ -313,9 +343,9 @@ def feature_rows(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def class_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log-probabilities of all classes."""
-    logits = weights[rows[:, 0]]
+    logits = weights.take(rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
-        logits += weights[rows[:, i]]
+        logits += weights.take(rows[:, i], axis=0)
     logits += weights[0]
     logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
@@ -328,6 +358,25 @@ def _chunk_arrays(b: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
     return train, sizes.astype(np.int64), *[x[codes] for x in words]
 
 
+def sums_of_runs(rows: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat`` over the first axis, bit by bit, which is slow where most runs are short.
+
+    It adds to a run's first row the sum of the others, those in order if they are fewer than eight.
+    """
+    out, longest = rows.take(first, axis=0), 8
+    by = np.argsort(-np.minimum(times, longest + 1), kind="stable")
+    n = [np.count_nonzero(times > k) for k in range(longest + 1)]
+    rest = rows.take(first[by[n[longest] : n[1]]] + 1, axis=0)
+    for k in range(2, longest):
+        rest[: n[k] - n[longest]] += rows.take(first[by[n[longest] : n[k]]] + k, axis=0)
+    out[by[n[longest] : n[1]]] += rest
+    if n[longest]:
+        long = times > longest
+        edges = np.cumsum(times[long]) - times[long]
+        out[long] = np.add.reduceat(rows[np.repeat(long, times)], edges, axis=0)
+    return out
+
+
 def learn(weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """Gradient steps over mini-batches, in place; ``used`` counts how often each row took part."""
     for at in range(0, len(rows), MINI):
@@ -340,9 +389,9 @@ def learn(weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.nd
         new = np.ones(len(flat), bool)
         new[1:] = sorted_rows[1:] != sorted_rows[:-1]
         first = np.flatnonzero(new)
-        pull = np.add.reduceat(error[order // part.shape[1]], first, axis=0)
         mine = sorted_rows[first]
         times = np.diff(np.append(first, len(flat)))
+        pull = sums_of_runs(error.take(order // part.shape[1], axis=0), first, times)
         used[mine] += times
         weights[mine] -= (RATE * pull / (np.sqrt(times) * np.sqrt(used[mine]))[:, None]).astype(np.float32)
         used[0] += len(goal)
@@ -431,10 +480,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES))
     write = _writer(spark)
-    parts, at = write(chunks(rows, *text_clusters(rows)), "lm-chunks")
-    sums = parts.agg(F.sum("train_tokens"), *[F.sum(F.element_at("by_cluster", k + 1)) for k in range(CLUSTERS)]).first()
-    total, by_cluster = int(sums[0] or 0), np.array([int(x or 0) for x in sums[1:]])
-    answered, answered_at = write(answers(requests(parts, buckets), total, by_cluster), "lm-answers")
+    parts, at = write(chunks(rows), "lm-chunks")
+    clusters = chunk_clusters(parts)
+    by_cluster = cluster_tokens(parts, *clusters)
+    total = int(by_cluster.sum())
+    answered, answered_at = write(answers(requests(parts, buckets, *clusters), total, by_cluster), "lm-answers")
     release(spark)
     per_class = np.zeros(2 * CLASSES, np.int64)
     counted = answered.filter("sums is not null").select(F.posexplode("sums").alias("at", "n"))

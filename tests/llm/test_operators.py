@@ -370,3 +370,12 @@ def test_overlaps(spark):
         a = rng.randrange(300)
         s = (a, 1, a + rng.randrange(1, 9))
         assert cover.meets(s) == any(x < s[2] and s[0] < y for x, _, y in spans)
+
+
+def test_sums_of_runs_are_those_of_reduceat():
+    """Runs short and long, to the bit; most runs of a mini-batch are short, where reduceat is slow."""
+    rng = np.random.default_rng(5)
+    for times in (np.ones(9, int), np.arange(1, 30), rng.integers(1, 12, 500), np.array([700, 1, 8, 9, 300, 7]), np.array([12])):
+        rows = rng.standard_normal((times.sum(), langmodel.CLASSES)).astype(np.float32)
+        first = np.cumsum(times) - times
+        assert (langmodel.sums_of_runs(rows, first, times) == np.add.reduceat(rows, first, axis=0)).all()
