@@ -6,8 +6,8 @@ a constant below zero. A linear scan finds all maximal segments of a text. With
 decay rate of clean scores, a segment's score turns into an extreme-value statistic, and a
 logistic curve over these turns them into a probability.
 
-Weights and curve are fitted on labelled texts: at most ``FIT_ROWS``, chosen by a hash of
-their ids, one half for the weights and the other for the curve.
+Weights and curve are fitted on all labelled texts, one half for the weights and the other
+for the curve. What the driver gets is bounded by the number of weights, or a few sums a block.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import LETTERS, id_and_text, least_hashed, slices
+from labelloom.llm.common import LETTERS, id_and_text, release, slices, stored
 
-FIT_ROWS = 40_000
 MAX_WEIGHTS = 100_000
 PREFIXES = (4, 5)
 # Prior counts of a word: this share of its counts in all texts, and a part of one besides.
@@ -34,6 +33,7 @@ MIN_Z = 4.0
 MIN_COUNT = 8
 DRIFT = -0.25
 MAX_WORDS = 500_000
+BLOCK_ROWS = 100_000
 _LOWER = str.maketrans(*LETTERS)
 
 
@@ -133,15 +133,15 @@ def log_odds(counts: DataFrame) -> DataFrame:
     return sums.select("feature", "y", odds.alias("odds"), (odds / spread).alias("z"))
 
 
-def decay_rate(scores: np.ndarray, others: int, drift: float) -> float:
+def decay_rate(scores: np.ndarray, times: np.ndarray, others: int, drift: float) -> float:
     """The positive solution of mean(exp(rate * score)) = 1 over the words of clean texts.
 
-    ``scores`` are the positive ones; the ``others`` score ``drift``.
+    ``scores`` are the positive ones, each found so many ``times``; the ``others`` score ``drift``.
     """
-    n = len(scores) + others
-    if not len(scores) or scores.sum() + drift * others >= 0:
+    n = times.sum() + others
+    if not len(scores) or (scores * times).sum() + drift * others >= 0:
         return 1.0
-    mean = lambda rate: (np.exp(rate * scores).sum() + others * math.exp(rate * drift)) / n
+    mean = lambda rate: ((np.exp(rate * scores) * times).sum() + others * math.exp(rate * drift)) / n
     low, high = 0.0, 1.0
     while mean(high) < 1 and high < 50:
         high *= 2
@@ -151,51 +151,56 @@ def decay_rate(scores: np.ndarray, others: int, drift: float) -> float:
     return min(max(low, 0.2), 2.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
-    """Model from labelled documents; labels hold the id and ``toxic``. Null ids or labels are left out.
+def labelled_texts(docs: DataFrame, labels: DataFrame, half: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and toxic of each distinct labelled text of one half; a text is toxic if any of its rows is.
+
+    Labels meet the texts by digests, so that a text is sent once; the text alone says which half it is in.
+    """
+    rows = id_and_text(docs, id_col, text_col).withColumn("half", F.pmod(F.xxhash64(F.xxhash64("text"), F.lit("half")), F.lit(2)))
+    rows = rows.filter(F.col("half") == half).select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
+    known = labels.select(F.col(id_col).alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = rows.select("doc_id", "digest").join(known, "doc_id").groupBy("digest").agg(F.max("toxic").alias("toxic"))
+    both = rows.select("digest", "text").join(marks, "digest").groupBy("digest")
+    return both.agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Model from all labelled documents; labels hold the id and ``toxic``. Null ids or labels are left out.
 
     Without texts of both labels every text gets the share of toxic ones. Labels of one id, or
     of equal texts, that differ count as toxic. Of the sure words the ``MAX_WEIGHTS`` surest get
-    a weight, so that the model stays small; ``rows`` texts have far fewer. The decay rate is
-    held between 0.2 and 2, beyond which few scores say nothing about it.
+    a weight, so that the model stays small. The decay rate is held between 0.2 and 2, beyond
+    which few scores say nothing about it.
     """
-    known = labels.select(id_col, "toxic").filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-    # a repeated label counts once, the toxic one of two that differ
-    known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    chosen = least_hashed(known, rows, id_col)
-    # at most FIT_ROWS ids of a few bytes
-    texts = id_and_text(docs, id_col, text_col).join(
-        F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id"
-    )
-    # copies of a text count once, and as toxic if any is; the text alone says which half it is in
-    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("text"))
-    texts = texts.withColumn("half", F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)))
-    counts = texts.filter("half = 0").select("text", "toxic").mapInArrow(
-        _word_counts, "feature string, toxic long, clean long"
-    )
+    counts = labelled_texts(docs, labels, 0, id_col, text_col).mapInArrow(_word_counts, "feature string, toxic long, clean long")
+    counts = stored(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
+    release(docs.sparkSession)
     sure = log_odds(counts).filter((F.col("z") >= MIN_Z) & (F.col("y") >= MIN_COUNT))
     best = sure.orderBy(F.desc("z"), "feature").limit(MAX_WEIGHTS).collect()
     model = Model({r["feature"]: float(r["odds"]) for r in best})
-    seen = texts.filter("half = 1").mapInArrow(_statistics(model), STATISTICS).toPandas()
-    # sums in one order, so that the same tables give the same model
-    seen = seen.sort_values(["key", "n_words"], ignore_index=True)
-    if not len(seen) or seen["toxic"].nunique() < 2:
-        share = float(seen["toxic"].mean()) if len(seen) else 0.0
+    seen = stored(labelled_texts(docs, labels, 1, id_col, text_col).mapInArrow(_statistics(model), STATISTICS), "toxicity-seen")
+    release(docs.sparkSession)
+    clean = F.col("toxic") == 0
+    sums = seen.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.countDistinct("toxic").alias("labels"),
+        F.sum(F.when(clean, F.col("n_words"))).alias("words"),
+    ).first()
+    if sums["labels"] < 2:
+        share = sums["toxic"] / sums["n"] if sums["n"] else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         model.curve = (math.log(share / (1 - share)), 0.0, 0.0)
         return model
-    clean = seen[seen["toxic"] == 0]
-    positive = np.concatenate([np.asarray(p) for p in clean["positive"]] or [np.empty(0)])
-    rest = max(0, int(clean["n_words"].sum()) - len(positive))
-    model.rate = decay_rate(positive, rest, model.drift)
-    both = np.array([
-        _beyond(list(p), list(s), n, model) for p, s, n in zip(seen["places"], seen["positive"], seen["n_words"], strict=True)
-    ])
-    model.curve = logistic(np.column_stack([both[:, 0], np.log1p(both[:, 1])]), seen["toxic"].to_numpy(float))
+    # a positive score is a word's weight: at most MAX_WEIGHTS distinct ones
+    found = seen.filter(clean).select(F.explode("positive").alias("score")).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    values = sorted((r["score"], r["n"]) for r in found.collect())
+    scores, times = np.array([v for v, _ in values]), np.array([n for _, n in values], float)
+    model.rate = decay_rate(scores, times, max(0, int(sums["words"] or 0) - int(times.sum())), model.drift)
+    model.curve = logistic(stored(blocks(seen, model, 1 + sums["n"] // BLOCK_ROWS), "toxicity-blocks"))
     return model
 
 
-STATISTICS = "key long, toxic int, n_words long, places array<int>, positive array<double>"
+STATISTICS = "toxic int, n_words long, places array<int>, positive array<double>"
 
 
 def _statistics(model: Model):
@@ -209,8 +214,8 @@ def _statistics(model: Model):
                 positive.append([h[1] for h in hits])
                 sizes.append(len(words))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("toxic").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())),
-                 pa.array(positive, pa.list_(pa.float64()))], ["key", "toxic", "n_words", "places", "positive"],
+                [b.column("toxic").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())),
+                 pa.array(positive, pa.list_(pa.float64()))], ["toxic", "n_words", "places", "positive"],
             )
 
     return run
@@ -222,17 +227,47 @@ def _beyond(places: list[int], scores: list[float], n_words: int, model: Model)
     return max(beyond, default=-size), sum(x for x in beyond if x > 0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Intercept and slopes by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+def blocks(seen: DataFrame, model: Model, n: int) -> DataFrame:
+    """``n`` rows of best statistic, total, label and number of texts, in an order that the values alone fix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("places", "positive", "n_words")]
+            both = np.array([_beyond(*x, model) for x in zip(*columns, strict=True)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(np.log1p(both[:, 1])), b.column("toxic")], ["best", "total", "toxic"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = np.stack([t.column(c).to_numpy().astype(float) for c in ("best", "total", "toxic", "n")], axis=1)
+        rows = rows[np.lexsort(rows.T[:3])]
+        return pa.table({"block": t.column("block").slice(0, 1), "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    cells = seen.mapInArrow(run, "best double, total double, toxic int").groupBy("best", "total", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    placed = cells.withColumn("block", F.pmod(F.xxhash64("best", "total", "toxic"), F.lit(n)))
+    return placed.groupBy("block").applyInArrow(pack, "block long, rows binary")
+
+
+def logistic(data: DataFrame, ridge: float = 1.0) -> tuple[float, ...]:
+    """Intercept and slopes by Newton's method over the ``blocks``; a step is one pass that sends 12 sums a block."""
+    w = np.zeros(3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for rows in b.column("rows").to_pylist():
+                best, total, y, n = np.frombuffer(rows).reshape(-1, 4).T
+                x = np.column_stack([np.ones(len(y)), best, total])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                parts.append(np.vstack([x.T @ (n * (p - y)), (x * (n * p * (1 - p))[:, None]).T @ x]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(parts, pa.binary())], ["block", "sums"])
+
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        pull = np.full(len(w), ridge)
-        pull[0] = 1e-6
-        slope = x.T @ (p - y) + pull * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        w = w - np.linalg.solve(bend, slope)
+        found = sorted((r["block"], r["sums"]) for r in data.mapInArrow(run, "block long, sums binary").collect())
+        sums = sum(np.frombuffer(s).reshape(4, 3) for _, s in found)
+        pull = np.array([1e-6, ridge, ridge])
+        step = np.linalg.solve(sums[1:] + np.diag(pull), sums[0] + pull * w)
+        w = w - step
+        if np.abs(step).max() < 1e-12:
+            break
     return tuple(float(v) for v in w)
 
 

@@ -1,8 +1,10 @@
 """Links, spans and windows that need the whole table: crowds, other notations, hot seeds, rare words."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from test_operators import _components, _sets
@@ -253,3 +255,25 @@ def test_trees_learn_from_all_candidates(spark):
         low = good[0] if good and (mine & (p >= good[0])).sum() > 20 else pii.DEFAULT_THRESHOLD
         assert abs(model.thresholds[kind] - max(low, 0.5)) < 1e-9, kind
     assert pii.fit(docs.repartition(5)) == model
+
+
+def test_toxic_words_are_learnt_from_all_labelled_texts(spark):
+    """More labelled texts than the 40,000 that were once sampled: each counts, copies once."""
+    rng = random.Random(31)
+    rows = [(n, f"text {n} of {rng.randrange(1000)} words" + (" vile" if n % 500 == 0 else "")) for n in range(42_000)]
+    rows += [(n + 50_000, t) for n, t in rows[:500]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 500 = 0 and doc_id < 50000) as toxic")
+    halves = [toxicity.labelled_texts(docs, labels, k).agg({"toxic": "sum", "text": "count"}).first() for k in (0, 1)]
+    assert sum(h["count(text)"] for h in halves) == 42_000 and sum(h["sum(toxic)"] for h in halves) == 84
+    model = toxicity.fit(docs, labels)
+    counts = (Counter(), Counter())
+    for r in toxicity.labelled_texts(docs, labels, 0).collect():
+        counts[r["toxic"]].update({f for w in toxicity.words_of(r["text"]) for f in toxicity.features(w)})
+    n0, n1 = (sum(c.values()) for c in counts)
+    y, prior = counts[1]["vile"], counts[1]["vile"] * toxicity.PRIOR_SHARE + toxicity.PRIOR_LEAST
+    every = (n0 + n1) * toxicity.PRIOR_SHARE + toxicity.PRIOR_LEAST
+    want = math.log((y + prior) / (n1 + every - y)) - math.log(prior / (n0 + every))
+    assert math.isclose(model.weights["vile"], want, rel_tol=1e-9)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == ("vile" in t) for i, t in rows)
