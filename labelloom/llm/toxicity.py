@@ -161,8 +161,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, half: int, id_col: str =
     known = labels.select(F.col(id_col).alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = rows.select("doc_id", "digest").join(known, "doc_id").groupBy("digest").agg(F.max("toxic").alias("toxic"))
-    both = rows.select("digest", "text").join(marks, "digest").groupBy("digest")
-    return both.agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    # copies become one row in each task before they are sent
+    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    return texts.join(marks, "digest").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
